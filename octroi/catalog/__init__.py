@@ -1,3 +1,4 @@
 """All registered queries; importing a module adds its entries."""
 
 from octroi.catalog import cleaning_queries  # noqa: F401
+from octroi.catalog import audit_queries  # noqa: F401

@@ -9,6 +9,7 @@ from octroi.functions import text
 from octroi.functions.pricing import relative_error
 from octroi.operators.cleaning import non_physical
 from octroi.operators.matrix import matrix_lookup
+from octroi.session import written
 from octroi.operators.ranking import indexed_percent, medians, order_statistics, sampled_rows, upper_middle
 
 COVERAGE_FLOOR = 0.10
@@ -178,21 +179,27 @@ def operator_medians(checks: DataFrame) -> DataFrame:
 
 def row_rejects(checks: DataFrame) -> DataFrame:
     """Checks with the deviation after the operator's median is divided out, the better of both ways."""
-    med = operator_medians(checks)
+    # One row per operator: written once, so the checks are not measured again for every use.
+    med = written(operator_medians(checks), "operator-medians")
     norm = F.coalesce(F.nullif(F.col("median_ratio"), F.lit(0.0)), F.lit(1.0))
-    rows = checks.join(med, "operator").withColumn("forward", F.abs((1.0 + F.col("error")) / norm - 1.0))
-    # One deviation per directed pair: the last row wins.
-    pair = rows.groupBy("from_gare_id", "to_gare_id").agg(F.max_by("forward", "row_id").alias("dev"))
-    back = pair.select(
-        F.col("to_gare_id").alias("from_gare_id"), F.col("from_gare_id").alias("to_gare_id"), F.col("dev").alias("back")
+    lo, hi = F.least("from_gare_id", "to_gare_id"), F.greatest("from_gare_id", "to_gare_id")
+    rows = (
+        checks.join(med, "operator")
+        .withColumn("dev", F.abs((1.0 + F.col("error")) / norm - 1.0))
+        .withColumns({"lo": lo, "hi": hi})
+    )
+    # One deviation per direction, the last row of it; the better direction decides for both.
+    ahead = F.col("from_gare_id") <= F.col("to_gare_id")
+    pair = rows.groupBy("lo", "hi").agg(
+        F.least(
+            F.max(F.when(ahead, F.struct("row_id", "dev"))).getField("dev"),
+            F.max(F.when(~ahead, F.struct("row_id", "dev"))).getField("dev"),
+        ).alias("adjusted")
     )
     return (
-        rows.drop("forward")
-        .join(pair, ["from_gare_id", "to_gare_id"])
-        .join(back, ["from_gare_id", "to_gare_id"], "left")
-        .withColumn("adjusted", F.least("dev", "back"))
+        rows.join(pair, ["lo", "hi"])
         .withColumn("rejected", F.col("adjusted") > REJECT_SHARE)
-        .drop("dev", "back")
+        .drop("lo", "hi", "dev")
     )
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from octroi.operators.ranking import row_positions, value_slice
+from octroi.operators.ranking import row_positions
 
 CELLS = ("tolled_s", "tolled_m", "free_s", "free_m")
 ISOLATION_SHARE = 0.9
@@ -29,7 +29,7 @@ def physical_clusters(gates: DataFrame) -> DataFrame:
     clusters = placed.groupBy("lat", "lon").agg(
         F.min("gare_id").alias("pid"), F.count(F.lit(1)).alias("members"), F.array_sort(F.collect_list("gare_id")).alias("gare_ids")
     )
-    return row_positions(clusters, [], ["pid"], value_slice(clusters, "pid"), "physical_gate_id")
+    return row_positions(clusters, [], ["pid"], out="physical_gate_id")
 
 
 def from_legs(legs: DataFrame, points: DataFrame) -> DataFrame:

@@ -12,28 +12,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from octroi.session import written
+
 SLICES = 128
 
 
-def value_slice(df: DataFrame, value: str, slices: int = SLICES) -> Column:
-    """Slice number of `value` from approximate quantiles of the column.
+def with_value_slice(df: DataFrame, source: DataFrame, value: str, slices: int = SLICES) -> DataFrame:
+    """Adds `_slice`: the slice of `value` among approximate quantiles of `source`'s column.
 
     The quantiles come as one scalar subquery of `slices` numbers; only the balance of the
     slices is approximate, never a result.
     """
-    if slices < 2:
-        return F.lit(0)
     points = [i / slices for i in range(1, slices)]
-    cuts = df.agg(F.percentile_approx(value, points, 2000).alias("cuts")).scalar()
-    return F.size(F.filter(F.coalesce(cuts, F.array().cast("array<double>")), lambda c: c <= F.col(value)))
+    cuts = source.agg(F.percentile_approx(value, points, 2000).alias("cuts")).scalar()
+    return (
+        df.withColumn("_cuts", cuts)
+        .withColumn("_slice", F.size(F.filter("_cuts", lambda c: c <= F.col(value))))
+        .drop("_cuts")
+    )
 
 
-def row_positions(df: DataFrame, keys: list[str], order: list, slice_expr: Column, out: str = "pos") -> DataFrame:
+def row_positions(
+    df: DataFrame, keys: list[str], order: list, slice_expr: Column | None = None, out: str = "pos"
+) -> DataFrame:
     """1-based row number within `keys` along `order`.
 
     `slice_expr` must not decrease along `order`; rows of one slice are numbered in one task.
+    Without it, slices are cut from the quantiles of the first order column.
     """
-    sliced = df.withColumn("_slice", slice_expr)
+    sliced = with_value_slice(df, df, order[0]) if slice_expr is None else df.withColumn("_slice", slice_expr)
     totals = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
@@ -67,11 +74,12 @@ def order_statistics(
     """Exact values at 1-based ranks per group; `ranks` are expressions over the group size `n`.
 
     Equal values are counted together before anything is ordered, so a group of copies costs
-    one row. Only the slices that hold a wanted rank are scanned.
+    one row; these counts are written once and read by every later step. Only the slices that
+    hold a wanted rank are scanned.
     """
     df = df.where(F.col(value).isNotNull())
-    keyed = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    sliced = keyed.withColumn("_slice", value_slice(df, value, slices))
+    keyed = written(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")), "value-counts")
+    sliced = with_value_slice(keyed, keyed, value, slices)
     if not keys:
         sliced, keys, plain = sliced.withColumn("_all", F.lit(1)), ["_all"], True
     else:

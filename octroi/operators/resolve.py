@@ -77,8 +77,11 @@ def match_alias(ends: DataFrame, gates: DataFrame) -> DataFrame:
     return ends.join(canonical, "name", "left_anti").join(one, "name").select("row_id", "endpoint", "matched_gare_id")
 
 
-def match_proximity(ends: DataFrame, gates: DataFrame) -> DataFrame:
-    """Among two or more placed candidates, the one whose distance fits clearly better than the next."""
+NEAR_KEY = ["name", "known_gare_id", "distance_km"]
+
+
+def proximity_hits(ends: DataFrame, gates: DataFrame) -> DataFrame:
+    """(name, known gate, distance) -> the candidate whose distance fits clearly better than the next."""
     places = gates.select("gare_id", "lat", "lon")
     cand = (
         name_candidates(gates)
@@ -98,7 +101,7 @@ def match_proximity(ends: DataFrame, gates: DataFrame) -> DataFrame:
         .join(known, "known_gare_id")
         .where("k_lat IS NOT NULL AND k_lon IS NOT NULL")
     )
-    key = ["name", "known_gare_id", "distance_km"]
+    key = NEAR_KEY
     scored = asked.join(cand, "name").select(
         *key,
         F.col("gare_id"),
@@ -118,10 +121,14 @@ def match_proximity(ends: DataFrame, gates: DataFrame) -> DataFrame:
         .where("_r = 1 AND second_err IS NOT NULL")
     )
     tol = F.greatest(F.lit(ABS_TOLERANCE_KM), F.col("distance_km") * REL_TOLERANCE)
-    hit = best_two.where((F.col("err") <= tol) & (F.col("second_err") - F.col("err") > tol)).select(
+    return best_two.where((F.col("err") <= tol) & (F.col("second_err") - F.col("err") > tol)).select(
         *key, F.col("gare_id").alias("matched_gare_id")
     )
-    return ends.join(hit, key).select("row_id", "endpoint", "matched_gare_id")
+
+
+def match_proximity(ends: DataFrame, gates: DataFrame) -> DataFrame:
+    """Among two or more placed candidates, the one whose distance fits clearly better than the next."""
+    return ends.join(proximity_hits(ends, gates), NEAR_KEY).select("row_id", "endpoint", "matched_gare_id")
 
 
 def match_operator_tag(ends: DataFrame, gates: DataFrame) -> DataFrame:
@@ -135,24 +142,55 @@ def match_operator_tag(ends: DataFrame, gates: DataFrame) -> DataFrame:
     )
 
 
+def name_lookup(gates: DataFrame) -> DataFrame:
+    """Per name: the only canonical gate, else the only alias gate where no canonical name matches; candidate count."""
+    per_gate = gate_names(gates).groupBy("name", "gare_id").agg(
+        F.max(F.col("kind") == "canonical").alias("is_canonical"), F.max(F.col("kind") == "alias").alias("is_alias")
+    )
+    stats = per_gate.groupBy("name").agg(
+        F.count(F.lit(1)).alias("n_candidates"),
+        F.count_if("is_canonical").alias("nc"),
+        F.min(F.when(F.col("is_canonical"), F.col("gare_id"))).alias("c_id"),
+        F.count_if("is_alias").alias("na"),
+        F.min(F.when(F.col("is_alias"), F.col("gare_id"))).alias("a_id"),
+    )
+    return stats.select(
+        "name",
+        "n_candidates",
+        F.when(F.col("nc") == 1, F.col("c_id")).alias("canonical_id"),
+        F.when((F.col("nc") == 0) & (F.col("na") == 1), F.col("a_id")).alias("alias_id"),
+    )
+
+
+def operator_lookup(gates: DataFrame) -> DataFrame:
+    """(name, operator) -> the only candidate carrying the operator."""
+    tags = gates.select("gare_id", F.explode(text.pipe_set("operators")).alias("operator"))
+    return _single(name_candidates(gates).join(tags, "gare_id"), ["name", "operator"], "n", "tag_id").where("n = 1").drop("n")
+
+
 def resolve_blank_endpoints(fares: DataFrame, gates: DataFrame) -> DataFrame:
-    """Every blank endpoint with the first rule that matched, or dropped."""
+    """Every blank endpoint with the first rule that matched, or dropped.
+
+    The rules read three lookup tables, so the endpoints are scanned twice: once to look up and
+    once to build the distance rule's distinct questions.
+    """
     ends = blank_endpoints(fares)
-    matchers = (match_canonical, match_alias, match_proximity, match_operator_tag)
-    hits = None
-    for rank, (rule, matcher) in enumerate(zip(RULES, matchers)):
-        part = matcher(ends, gates).select(
-            "row_id", "endpoint", F.lit(rank).alias("rank"), F.lit(rule).alias("rule"), "matched_gare_id"
-        )
-        hits = part if hits is None else hits.unionByName(part)
-    # A row may fire several rules: the earliest wins; one aggregate replaces four left joins.
-    first = hits.groupBy("row_id", "endpoint").agg(F.min(F.struct("rank", "rule", "matched_gare_id")).alias("h"))
-    return ends.join(first, ["row_id", "endpoint"], "left").select(
-        "row_id", "endpoint", "operator", "raw_name", "known_gare_id", "distance_km", "class1",
-        F.coalesce("h.rule", F.lit("default_unresolved")).alias("rule"),
-        F.when(F.col("h.rule").isNull(), "drop").otherwise("matched").alias("disposition"),
-        F.col("h.matched_gare_id").alias("matched_gare_id"),
-    )
+    near = proximity_hits(ends, gates).withColumnRenamed("matched_gare_id", "near_id")
+    tag = F.when(F.col("n_candidates") >= 2, F.col("tag_id"))
+    ids = dict(zip(RULES, (F.col("canonical_id"), F.col("alias_id"), F.col("near_id"), tag)))
+    rule = F.coalesce(*[F.when(c.isNotNull(), F.lit(r)) for r, c in ids.items()], F.lit("default_unresolved"))
+    return (
+        ends.join(name_lookup(gates), "name", "left")
+        .join(operator_lookup(gates), ["name", "operator"], "left")
+        .join(near, NEAR_KEY, "left")
+        .withColumn("rule", rule)
+        .withColumn("matched_gare_id", F.coalesce(*ids.values()))
+        .withColumn("disposition", F.when(F.col("matched_gare_id").isNull(), "drop").otherwise("matched"))
+        .select(
+            "row_id", "endpoint", "operator", "raw_name", "known_gare_id", "distance_km", "class1",
+            "rule", "disposition", "matched_gare_id",
+        )
+    )
 
 
 def apply_rematch(fares: DataFrame, resolved: DataFrame) -> DataFrame:

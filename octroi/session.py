@@ -19,6 +19,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, memory:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.extraJavaOptions", "-Xss16m")
         .getOrCreate()
     )
@@ -42,15 +43,25 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
+def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder, so a lost executor never loses the loop state."""
     spark = df.sparkSession
     folder = shared_dir(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=eager)
+    return df.checkpoint(eager=True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """Fresh path below the shared folder for a table written by a job."""
     return f"{shared_dir(spark)}/octroi/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Writes a reused intermediate once as parquet in the shared folder and reads it back.
+
+    Later plans scan only the columns they need and see its true size when they pick a join.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

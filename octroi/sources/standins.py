@@ -12,6 +12,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from octroi.session import scratch_path
+
 BASE_TABLES = ("nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 GATES = """
@@ -184,25 +186,39 @@ def marks(text: str) -> list[str]:
     return list(dict.fromkeys(_MARK.findall(text)))
 
 
+# Tables every query leans on are written once per session and folder, like tables at rest.
+AT_REST = ("fare_keys", "fares", "points", "legs", "vertices")
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
 class Inputs:
     """Lazily built frames over one folder of parquet tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self._made = spark, sf_dir, {}
+        self.spark, self.sf_dir, self._made = spark, sf_dir.rstrip("/"), {}
 
     def table(self, name: str) -> DataFrame:
         if name not in self._made:
-            if name in TEXTS and name not in ("numbered_events", "points"):
-                text = TEXTS[name]
-                self._made[name] = self.spark.sql(text, **{m: self.table(m) for m in marks(text)})
-            elif name == "points":
-                self._made[name] = self._points()
-            elif name == "numbered_events":
-                self._made[name] = self._numbered_events()
-            else:
-                self._made[name] = self.spark.read.parquet(f"{self.sf_dir.rstrip('/')}/{name}.parquet")
+            self._made[name] = self._at_rest(name) if name in AT_REST else self._derive(name)
         return self._made[name]
 
+    def _at_rest(self, name: str) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _WRITTEN:
+            path = scratch_path(self.spark, name)
+            self._derive(name).write.parquet(path)
+            _WRITTEN[key] = path
+        return self.spark.read.parquet(_WRITTEN[key])
+
+    def _derive(self, name: str) -> DataFrame:
+        if name == "points":
+            return self._points()
+        if name == "numbered_events":
+            return self._numbered_events()
+        if name in TEXTS:
+            return self.spark.sql(TEXTS[name], **{m: self.table(m) for m in marks(TEXTS[name])})
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
     def _points(self) -> DataFrame:
         from octroi.operators.matrix import gate_points
 
