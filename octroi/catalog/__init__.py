@@ -2,3 +2,5 @@
 
 from octroi.catalog import cleaning_queries  # noqa: F401
 from octroi.catalog import audit_queries  # noqa: F401
+from octroi.catalog import place_queries  # noqa: F401
+from octroi.catalog import network_queries  # noqa: F401
