@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from octroi.session import cut_lineage
 
 FAN_ROWS = 50_000
+BOUND_FROM = 5_000
 
 
 def fan_out(moves: DataFrame, on: list[str], rows: int = FAN_ROWS) -> DataFrame:
@@ -35,6 +36,13 @@ def fan_out(moves: DataFrame, on: list[str], rows: int = FAN_ROWS) -> DataFrame:
     )
 
 
+def task_count(df: DataFrame, rows_per_task: int = 500_000) -> int:
+    """Partitions for a table that is joined every round: by its size, within the session's setting."""
+    spark = df.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(most, max(spark.sparkContext.defaultParallelism, df.count() // rows_per_task)))
+
+
 def relax(
     seeds: DataFrame,
     moves: DataFrame,
@@ -58,9 +66,9 @@ def relax(
     carry, on = carry or [], on or ["node"]
     names = list(measures)
     fixed = [*keys, *carry]
-    parts = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Moves are laid out once by join key and keep that layout, so rounds shuffle only the frontier.
-    table = cut_lineage(fan_out(moves, on, fan_rows).repartition(parts, *on, "salt"))
+    spread = fan_out(moves, on, fan_rows)
+    table = cut_lineage(spread.repartition(task_count(moves), *on, "salt"))
     degree = table.groupBy(*on).agg((F.max("salt") + 1).alias("fan"))
     order = F.struct(*names, "hops", "is_new", "path")
 
@@ -79,8 +87,14 @@ def relax(
     rounds = 0
     while max_rounds is None or rounds < max_rounds:
         front = state.where("is_new AND fan > 0")
-        if front.isEmpty():
+        improved = front.count()
+        if improved == 0:
             break
+        # A short frontier costs less to expand than its bound costs to compute.
+        limit = bound(state) if bound is not None and improved > BOUND_FROM else None
+        if limit is not None:
+            # Rows dearer than the bound can lead nowhere that matters: they are not expanded.
+            front = front.join(limit, keys, "left").where(f"bound IS NULL OR {names[0]} <= bound")
         visits = front.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("fan") - 1))).drop("is_new", "fan")
         joined = visits.join(table, [*on, "salt"])
         if usable is not None:
@@ -93,13 +107,12 @@ def relax(
             F.lit(True).alias("is_new"),
             F.concat("path", F.array("step")).alias("path"),
             "fan",
+            *(["bound"] if limit is not None else []),
         )
         if "cap" in carry:
             reached = reached.where(F.col(names[0]) <= F.col("cap"))
-        if bound is not None:
-            reached = reached.join(bound(state), keys, "left").where(
-                F.col("bound").isNull() | (F.col(names[0]) <= F.col("bound"))
-            )
+        if limit is not None:
+            reached = reached.where(f"bound IS NULL OR {names[0]} <= bound")
         # Candidates shrink to one row per node before they meet the old state.
         best = least(reached.select(*cols))
         state = cut_lineage(least(state.withColumn("is_new", F.lit(False)).select(*cols).unionByName(best.select(*cols))))

@@ -203,10 +203,14 @@ class Inputs:
         return self._made[name]
 
     def _at_rest(self, name: str) -> DataFrame:
+        return self.stored(name, lambda: self._derive(name))
+
+    def stored(self, name: str, build) -> DataFrame:
+        """A derived table several queries read: built and written once per session and folder."""
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         if key not in _WRITTEN:
             path = scratch_path(self.spark, name)
-            self._derive(name).write.parquet(path)
+            build().write.parquet(path)
             _WRITTEN[key] = path
         return self.spark.read.parquet(_WRITTEN[key])
 
