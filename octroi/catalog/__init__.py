@@ -5,3 +5,4 @@ from octroi.catalog import audit_queries  # noqa: F401
 from octroi.catalog import place_queries  # noqa: F401
 from octroi.catalog import network_queries  # noqa: F401
 from octroi.catalog import route_queries  # noqa: F401
+from octroi.catalog import option_queries  # noqa: F401

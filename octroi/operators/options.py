@@ -79,7 +79,7 @@ def label_options(picked: DataFrame) -> DataFrame:
         F.filter(F.array(F.when(F.col("cheap_ok"), entry(F.col("cheap"), "cheapest", 2))), lambda v: v.isNotNull()),
         F.transform(free, lambda r: entry(r, "toll_free_route", 3)),
     )
-    rows = shown.select(*GROUP, fast.alias("fast"), F.explode(entries).alias("e"))
+    rows = shown.withColumn("entries", entries).select(*GROUP, "fast", F.explode("entries").alias("e"))
     labelled = rows.groupBy(*GROUP, F.col("e.r.chain").alias("chain")).agg(
         F.array_sort(F.collect_set("e.label")).alias("labels"),
         F.min(F.struct("e.rank", "e.r")).getField("r").alias("route"),
