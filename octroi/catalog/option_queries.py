@@ -160,10 +160,10 @@ def _(x):
 
 @query(
     "toll_segments",
-    f"SELECT {GROUP}, chain, coalesce(segs, '') AS segs FROM {{opts}} LEFT JOIN (SELECT {GROUP}, chain, string_agg(printf('%.4f', price), ',' ORDER BY pos) AS segs FROM {{plegs}} WHERE price > 0 GROUP BY ALL) USING ({GROUP}, chain)",
+    f"SELECT {GROUP}, chain, coalesce(segs, '') AS segs FROM {{opts}} LEFT JOIN (SELECT {GROUP}, chain, string_agg(printf('%.6f', price), ',' ORDER BY pos) AS segs FROM {{plegs}} WHERE price > 0 GROUP BY ALL) USING ({GROUP}, chain)",
 )
 def _(x):
-    segs = F.array_join(F.transform("toll_segments", lambda v: F.format_string("%.4f", v)), ",")
+    segs = F.array_join(F.transform("toll_segments", lambda v: F.format_string("%.6f", v)), ",")
     return detailed(x).select(*req.GROUP, joined("chain", ",").alias("chain"), segs.alias("segs"))
 
 

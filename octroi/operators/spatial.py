@@ -133,12 +133,13 @@ PIECE_M = 5_000.0
 
 
 def points_near_polylines(
-    segments: DataFrame, points: DataFrame, radius_m: float, route: list[str] = ["route_id"]
+    segments: DataFrame, points: DataFrame, radius_m: float, route: list[str] = ["route_id"], own: list[str] | None = None
 ) -> DataFrame:
     """(route, x, y, dist_m, along_m) for every distinct point within `radius_m` of a route.
 
     Long segments are cut into pieces of at most 5 km; a piece looks only into the grid cells its
-    grown bounding box touches. dist_m is rounded to the millimetre and ties take the first
+    grown bounding box touches. With `own`, a point belongs to one line and is compared with that
+    line only. dist_m is rounded to the millimetre and ties take the first
     position along the route.
     """
     cell = F.lit(max(PIECE_M, radius_m))
@@ -160,14 +161,14 @@ def points_near_polylines(
 
     pieces = pieces.withColumn("_cx", F.explode(cells(ax, bx))).withColumn("_cy", F.explode(cells(ay, by)))
     pts = (
-        points.select("x", "y").na.drop().distinct()
+        points.select(*(own or []), "x", "y").na.drop().distinct()
         .withColumn("_cx", F.floor(F.col("x") / cell).cast("bigint"))
         .withColumn("_cy", F.floor(F.col("y") / cell).cast("bigint"))
     )
     proj = ((F.col("x") - F.col("x1")) * dx + (F.col("y") - F.col("y1")) * dy) / (F.col("len_m") * F.col("len_m"))
     t = F.when(F.col("len_m") > 0, F.least(F.col("_t1"), F.greatest(F.col("_t0"), proj))).otherwise(F.lit(0.0))
     hit = (
-        pieces.join(pts, ["_cx", "_cy"])
+        pieces.join(pts, [*(own or []), "_cx", "_cy"])
         .withColumn("_t", t)
         .withColumn(
             "dist_m",
