@@ -7,3 +7,4 @@ from octroi.catalog import network_queries  # noqa: F401
 from octroi.catalog import route_queries  # noqa: F401
 from octroi.catalog import option_queries  # noqa: F401
 from octroi.catalog import section_queries  # noqa: F401
+from octroi.catalog import table_queries  # noqa: F401
