@@ -178,7 +178,7 @@ _LAST = f"chain_{_ROUNDS}"
 
 @query("min_plus_closure", f"SELECT operator, f AS source, t AS target, round(price, 6) AS price FROM {{{_LAST}}}")
 def _(x):
-    c = undercut.min_plus_closure(undercut.priced_pairs(x.fares))
+    c, _ = undercut.min_plus_closure(undercut.priced_pairs(x.fares))
     return c.select("operator", "source", "target", r("price", 6))
 
 

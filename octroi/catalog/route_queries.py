@@ -80,17 +80,19 @@ view(
   FROM {{srch}} JOIN {{acc}} ON hub_id = origin_id AND direction = 'entry' GROUP BY ALL""",
 )
 _SEARCH_ROUNDS = 16
+_TIE = "(1e-6::DOUBLE + ((to_node * 7919 + step % 8 * 104729) % 10007) / 10007.0::DOUBLE * 1e-6::DOUBLE)"
 for _i in range(1, _SEARCH_ROUNDS + 1):
     view(
         f"st_{_i}",
         f"""SELECT {_KEY}, node, min(v) AS v FROM (SELECT * FROM {{st_{_i - 1}}} UNION ALL
-    SELECT {_KEY}, to_node AS node, min(struct_pack(cost := v.cost + ((k_toll * ({_TOLL}) + k_m * e_m) + k_s * e_s), toll := v.toll + {_TOLL}, m := v.m + e_m, s := v.s + e_s, h := v.h + 1, p := list_append(v.p, step))) AS v
+    SELECT {_KEY}, to_node AS node, min(struct_pack(cost := v.cost + (((k_toll * ({_TOLL}) + k_m * e_m) + k_s * e_s) + {_TIE}), toll := v.toll + {_TOLL}, m := v.m + e_m, s := v.s + e_s, h := v.h + 1, p := list_append(v.p, step))) AS v
     FROM {{st_{_i - 1}}} s JOIN {{mv}} m ON m.node = s.node WHERE v.h = {_i - 1} GROUP BY ALL) GROUP BY ALL""",
     )
 view(
     "rts",
-    f"""SELECT origin_id, vehicle_class, mode, hub_id AS destination_id, min(struct_pack(cost := v.cost + ((k_toll * 0.0 + k_m * a.distance_m) + k_s * a.duration_s), toll := v.toll, m := v.m + a.distance_m, s := v.s + a.duration_s, h := v.h, p := v.p, last_m := a.distance_m)) AS r
-  FROM {{st_{_SEARCH_ROUNDS}}} s JOIN {{acc}} a ON a.direction = 'exit' AND s.node = a.gare_id * 2 + 1 WHERE hub_id <> origin_id GROUP BY ALL""",
+    f"""SELECT origin_id, vehicle_class, mode, destination_id, struct_pack(cost := (k_toll * q.toll + k_m * q.m) + k_s * q.s, toll := q.toll, m := q.m, s := q.s, h := q.h, p := q.p, last_m := q.last_m) AS r FROM (
+  SELECT {_KEY}, hub_id AS destination_id, min(struct_pack(cost := v.cost + ((k_toll * 0.0 + k_m * a.distance_m) + k_s * a.duration_s), node := s.node, toll := v.toll, m := v.m + a.distance_m, s := v.s + a.duration_s, h := v.h, p := v.p, last_m := a.distance_m)) AS q
+  FROM {{st_{_SEARCH_ROUNDS}}} s JOIN {{acc}} a ON a.direction = 'exit' AND s.node = a.gare_id * 2 + 1 WHERE hub_id <> origin_id GROUP BY ALL)""",
 )
 view(
     "wanted_rts",

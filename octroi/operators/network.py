@@ -207,7 +207,7 @@ def moves(costs: DataFrame) -> DataFrame:
 
     IN and IN_TOLL have a single way on, the dwell, so a leg that lands there takes the dwell along;
     that is exact and halves the rounds of a search. A state key is gate * 2 + (1 on the toll side);
-    a step code is gate * 8 + kind and says how the gate was reached.
+    `kind` says how the gate was reached.
     """
     from_gate, to_gate = F.floor(F.col("from_node") / 4), F.floor(F.col("to_node") / 4)
     from_side = F.when(F.pmod(F.col("from_node"), F.lit(4)) == OUT_TOLL, 1).otherwise(0)
@@ -216,7 +216,7 @@ def moves(costs: DataFrame) -> DataFrame:
     return costs.where(F.col("edge_type").isin("toll_free", "exit_reentry", "boundary", "toll")).select(
         (from_gate * 2 + from_side).alias("node"),
         (to_gate * 2 + (F.col("edge_type") == "toll").cast("int")).alias("to_node"),
-        (to_gate * 8 + kind).alias("step"),
+        kind.alias("kind"),
         F.when(stays, F.col("duration_s")).otherwise(F.col("duration_s") + DWELL_S).alias("e_s"),
         F.when(stays, F.col("distance_m")).otherwise(F.col("distance_m") + DWELL_M).alias("e_m"),
         F.when(F.col("edge_type") == "toll", F.array(*CLASSES)).otherwise(F.array(*[F.lit(0.0)] * 5)).alias("tolls"),

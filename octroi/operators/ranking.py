@@ -14,22 +14,13 @@ from pyspark.sql.window import Window
 
 from octroi.session import written
 
-SLICES = 128
+def range_sliced(df: DataFrame, order: list[str]) -> DataFrame:
+    """Adds `_slice`, which never falls along `order`, and writes the result.
 
-
-def with_value_slice(df: DataFrame, source: DataFrame, value: str, slices: int = SLICES) -> DataFrame:
-    """Adds `_slice`: the slice of `value` among approximate quantiles of `source`'s column.
-
-    The quantiles come as one scalar subquery of `slices` numbers; only the balance of the
-    slices is approximate, never a result.
+    Spark's range partitioning finds balanced bounds by sampling; the slice is the partition a
+    row landed in. It is stored with the row, so every later step sees the same slices.
     """
-    points = [i / slices for i in range(1, slices)]
-    cuts = source.agg(F.percentile_approx(value, points, 2000).alias("cuts")).scalar()
-    return (
-        df.withColumn("_cuts", cuts)
-        .withColumn("_slice", F.size(F.filter("_cuts", lambda c: c <= F.col(value))))
-        .drop("_cuts")
-    )
+    return written(df.repartitionByRange(*order).withColumn("_slice", F.spark_partition_id()), "slices")
 
 
 def row_positions(
@@ -38,9 +29,9 @@ def row_positions(
     """1-based row number within `keys` along `order`.
 
     `slice_expr` must not decrease along `order`; rows of one slice are numbered in one task.
-    Without it, slices are cut from the quantiles of the first order column.
+    Without it, slices come from range partitioning.
     """
-    sliced = with_value_slice(df, df, order[0]) if slice_expr is None else df.withColumn("_slice", slice_expr)
+    sliced = range_sliced(df, [*keys, *order]) if slice_expr is None else df.withColumn("_slice", slice_expr)
     totals = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
@@ -69,7 +60,7 @@ def running_total(df: DataFrame, keys: list[str], order: str, slice_expr: Column
 
 
 def order_statistics(
-    df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], slices: int = SLICES
+    df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]
 ) -> DataFrame:
     """Exact values at 1-based ranks per group; `ranks` are expressions over the group size `n`.
 
@@ -78,8 +69,7 @@ def order_statistics(
     hold a wanted rank are scanned.
     """
     df = df.where(F.col(value).isNotNull())
-    keyed = written(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")), "value-counts")
-    sliced = with_value_slice(keyed, keyed, value, slices)
+    sliced = range_sliced(df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")), [*keys, value])
     if not keys:
         sliced, keys, plain = sliced.withColumn("_all", F.lit(1)), ["_all"], True
     else:

@@ -1,8 +1,9 @@
 """Many shortest-path searches in one iterative DataFrame job.
 
-State is one row per (search, node) with its additive measures and path. Each round joins the rows
-improved last round to the moves, and one aggregation keeps the least row per (search, node). Rows
-compare on the measures in order, then on hops and path, so results never depend on task order.
+State is one narrow row per (search, node): its cost, further additive totals and `via`, the move
+that reached it. Each round joins the rows improved last round to the moves, and one aggregation
+over old rows and candidates keeps the cheapest. Every column is a primitive, so that aggregation is
+a hash aggregation with a map-side combine; paths are read off at the end, for wanted rows only.
 """
 
 from __future__ import annotations
@@ -12,10 +13,20 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from octroi.session import cut_lineage
+from octroi.session import cut_lineage, written
 
 FAN_ROWS = 50_000
 BOUND_FROM = 5_000
+TIE_STEP = 1e-6
+
+
+def tie_step(to_node, kind) -> Column:
+    """A tiny positive cost per move: fewer moves win a tie, and equal chains get a fixed order.
+
+    Far below a cent or a second, far above rounding noise; it also makes free cycles strictly worse.
+    """
+    mix = F.pmod(to_node * 7919 + kind * 104729, F.lit(10007)) / F.lit(10007.0)
+    return F.lit(TIE_STEP) + mix * F.lit(TIE_STEP)
 
 
 def fan_out(moves: DataFrame, on: list[str], rows: int = FAN_ROWS) -> DataFrame:
@@ -29,7 +40,7 @@ def fan_out(moves: DataFrame, on: list[str], rows: int = FAN_ROWS) -> DataFrame:
     target = degree.withColumnRenamed("node", "to_node").withColumnRenamed("_f", "fan")
     return (
         moves.join(degree, on)
-        .withColumn("salt", F.pmod(F.xxhash64("to_node", "step"), F.col("_f")).cast("int"))
+        .withColumn("salt", F.pmod(F.xxhash64("to_node", "kind"), F.col("_f")).cast("int"))
         .drop("_f")
         .join(target, [*others, "to_node"], "left")
         .withColumn("fan", F.coalesce("fan", F.lit(0)))
@@ -47,74 +58,97 @@ def relax(
     seeds: DataFrame,
     moves: DataFrame,
     keys: list[str],
-    measures: dict[str, Column],
-    carry: list[str] | None = None,
+    totals: dict[str, Column],
+    context: DataFrame | None = None,
     on: list[str] | None = None,
     usable: Column | None = None,
     bound: Callable[[DataFrame], DataFrame] | None = None,
     fan_rows: int = FAN_ROWS,
-    max_rounds: int | None = None,
 ) -> DataFrame:
-    """Least measures and path from the seeds to every reachable node.
-
-    seeds: keys, carry, node, the measures, path (array). moves: node, to_node, step and what the
-    measure increments need. `measures` maps each measure to its increment over a joined
-    (state, move) row; the first is the cost that is minimised. `carry` names per-search constants.
-    `on` names the columns that tie a state to its moves. `usable` keeps only some joined rows.
-    `bound(state)` may give (keys, bound): no row above the bound can matter any more.
+    """Cheapest way from the seeds to every reachable node: keys, node, totals, hops, via.
+
+    seeds: keys, node and the totals. moves: node, to_node, kind (0..7) and what the increments need.
+    `totals` maps each total to its increment over a joined (state, context, move) row; the first
+    is the cost that is minimised. `context` holds per-search constants by `keys`. `on` names the
+    columns that tie a state to its moves. `usable` keeps only some joined rows. `bound(state)` may give
+    (keys, bound): no row above it can matter any more. `via` is `node * 8 + kind` of the last
+    move, NULL at a seed.
     """
-    carry, on = carry or [], on or ["node"]
-    names = list(measures)
-    fixed = [*keys, *carry]
-    # Moves are laid out once by join key and keep that layout, so rounds shuffle only the frontier.
+    on = on or ["node"]
+    cost, *others = list(totals)
     spread = fan_out(moves, on, fan_rows)
+    # Moves are laid out once by join key and keep that layout, so rounds shuffle only the frontier.
     table = cut_lineage(spread.repartition(task_count(moves), *on, "salt"))
     degree = table.groupBy(*on).agg((F.max("salt") + 1).alias("fan"))
-    order = F.struct(*names, "hops", "is_new", "path")
-
-    def least(df: DataFrame) -> DataFrame:
-        out = df.groupBy(*fixed, "node").agg(F.min(order).alias("_m"), F.max("fan").alias("fan"))
-        return out.select(*fixed, "node", "_m.*", "fan")
+    plain = [*others, "hops", "via", "fan"]
+
+    def cheapest(df: DataFrame) -> DataFrame:
+        """One row per (search, node); `is_new` where a candidate beats the old row strictly."""
+        out = df.groupBy(*keys, "node").agg(
+            F.min(cost).alias(cost),
+            F.min(F.when(F.col("old"), F.col(cost))).alias("_old"),
+            *[F.min_by(c, cost).alias(c) for c in plain],
+        )
+        return out.withColumn("is_new", F.col("_old").isNull() | (F.col(cost) < F.col("_old"))).drop("_old")
 
-    start = (
-        seeds.join(degree, on, "left")
-        .withColumn("fan", F.coalesce("fan", F.lit(0)))
-        .withColumn("hops", F.lit(0))
-        .withColumn("is_new", F.lit(True))
+    cols = [*keys, "node", cost, *plain, "old"]
+    start = seeds.join(degree, on, "left").withColumns(
+        {"fan": F.coalesce("fan", F.lit(0)), "hops": F.lit(0), "via": F.lit(None).cast("bigint"), "old": F.lit(False)}
     )
-    cols = [*fixed, "node", *names, "hops", "is_new", "path", "fan"]
-    state = cut_lineage(least(start.select(*cols)))
-    rounds = 0
-    while max_rounds is None or rounds < max_rounds:
+    state = cut_lineage(cheapest(start.select(*cols)))
+    while True:
         front = state.where("is_new AND fan > 0")
         improved = front.count()
         if improved == 0:
-            break
+            return state.drop("is_new", "fan")
         # A short frontier costs less to expand than its bound costs to compute.
-        limit = bound(state) if bound is not None and improved > BOUND_FROM else None
+        limit = written(bound(state), "bound") if bound is not None and improved > BOUND_FROM else None
         if limit is not None:
             # Rows dearer than the bound can lead nowhere that matters: they are not expanded.
-            front = front.join(limit, keys, "left").where(f"bound IS NULL OR {names[0]} <= bound")
-        visits = front.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("fan") - 1))).drop("is_new", "fan")
+            front = front.join(limit, keys, "left").where(f"bound IS NULL OR {cost} <= bound")
+        visits = front.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("fan") - 1))).drop("is_new", "fan", "via")
+        if context is not None:
+            visits = visits.join(context, keys)
         joined = visits.join(table, [*on, "salt"])
         if usable is not None:
             joined = joined.where(usable)
         reached = joined.select(
-            *fixed,
+            *keys,
             F.col("to_node").alias("node"),
-            *[(F.col(n) + inc).alias(n) for n, inc in measures.items()],
+            *[(F.col(n) + inc).alias(n) for n, inc in totals.items()],
             (F.col("hops") + 1).alias("hops"),
-            F.lit(True).alias("is_new"),
-            F.concat("path", F.array("step")).alias("path"),
+            (F.col("node") * 8 + F.col("kind")).alias("via"),
             "fan",
+            F.lit(False).alias("old"),
             *(["bound"] if limit is not None else []),
         )
-        if "cap" in carry:
-            reached = reached.where(F.col(names[0]) <= F.col("cap"))
         if limit is not None:
-            reached = reached.where(f"bound IS NULL OR {names[0]} <= bound")
-        # Candidates shrink to one row per node before they meet the old state.
-        best = least(reached.select(*cols))
-        state = cut_lineage(least(state.withColumn("is_new", F.lit(False)).select(*cols).unionByName(best.select(*cols))))
-        rounds += 1
-    return state.drop("is_new", "fan")
+            reached = reached.where(f"bound IS NULL OR {cost} <= bound")
+        state = cut_lineage(cheapest(state.withColumn("old", F.lit(True)).select(*cols).unionByName(reached.select(*cols))))
+
+
+WALK_STEPS = 6
+
+
+def walk_back(heads: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds `path`, from the seed to `node`, as array<struct<node, kind>>; kind is NULL at the seed.
+
+    Follows `via` by joins, a few steps per written table, until every head has met its seed. A
+    finished head keeps looking up its own seed, so each step is one inner join on all heads.
+    """
+    link = state.select(*keys, F.col("node").alias("_at"), "via")
+    none = F.array().cast("array<struct<node:bigint,kind:int>>")
+    rows = heads.withColumns({"_at": F.col("node").cast("bigint"), "path": none, "_done": F.lit(False)})
+    while True:
+        for _ in range(WALK_STEPS):
+            step = F.struct(F.col("_at").alias("node"), F.pmod("via", F.lit(8)).cast("int").alias("kind"))
+            rows = (
+                rows.join(link, [*keys, "_at"])
+                .withColumn("path", F.when(F.col("_done"), F.col("path")).otherwise(F.concat(F.array(step), "path")))
+                .withColumn("_done", F.col("via").isNull())
+                .withColumn("_at", F.coalesce(F.floor(F.col("via") / 8), F.col("_at")))
+                .drop("via")
+            )
+        rows = written(rows, "walk")
+        if rows.where("NOT _done").isEmpty():
+            return rows.drop("_at", "_done")

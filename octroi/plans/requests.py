@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from octroi.functions.pricing import VOT_STEPS, vot_bucket, vot_grid
 from octroi.operators.network import DWELL_M, DWELL_S
-from octroi.operators.relax import relax
+from octroi.functions.paths import ENTRY
+from octroi.operators.relax import relax, tie_step, walk_back
 from octroi.session import written
 
 SEARCH = ["origin_id", "vehicle_class", "mode"]
@@ -89,38 +90,42 @@ def route_table(groups: DataFrame, classes: DataFrame, legs: DataFrame, moves: D
     )
     zero = F.lit(0.0)
     seeds = search.join(entry, "origin_id").select(
-        *SEARCH, *WEIGHTS,
-        (F.col("gare_id") * 2).alias("node"),
+        *SEARCH, (F.col("gare_id") * 2).alias("node"),
         weighted(zero, F.col("m"), F.col("s")).alias("cost"), zero.alias("toll"),
         F.col("m").alias("distance_m"), F.col("s").alias("duration_s"),
-        F.array((F.col("gare_id") * 8 + 5)).alias("path"),
     )
     toll = F.element_at("tolls", F.col("vehicle_class").cast("int"))
+    weights = search.select(*SEARCH, *WEIGHTS)
     out_cost = F.col("cost") + weighted(zero, F.col("x_m"), F.col("x_s"))
 
     def bound(state: DataFrame) -> DataFrame:
         """Cost of the dearest destination already reached, once every served one has been."""
-        reached = state.join(exits, "node").groupBy(*SEARCH, "destination_id").agg(F.min(out_cost).alias("c"))
+        reached = state.join(exits, "node").join(weights, SEARCH).groupBy(*SEARCH, "destination_id").agg(F.min(out_cost).alias("c"))
         return (
             goal_served.join(reached, [*SEARCH, "destination_id"], "left")
             .groupBy(*SEARCH)
             .agg(F.when(F.count("c") == F.count(F.lit(1)), F.max("c") + 1e-9).alias("bound"))
         )
 
-    state = relax(
-        seeds, moves, SEARCH,
-        {"cost": weighted(toll, F.col("e_m"), F.col("e_s")), "toll": toll, "distance_m": F.col("e_m"), "duration_s": F.col("e_s")},
-        carry=WEIGHTS, usable=toll.isNotNull(), bound=bound,
-    )
+    increments = {
+        "cost": weighted(toll, F.col("e_m"), F.col("e_s")) + tie_step(F.col("to_node"), F.col("kind")),
+        "toll": toll, "distance_m": F.col("e_m"), "duration_s": F.col("e_s"),
+    }
+    state = relax(seeds, moves, SEARCH, increments, context=weights, usable=toll.isNotNull(), bound=bound)
+    ends = state.join(exits, "node").join(weights, SEARCH).join(goal, [*SEARCH, "destination_id"], "left_semi")
     order = F.struct(
-        out_cost.alias("cost"), F.col("toll"), (F.col("distance_m") + F.col("x_m")).alias("distance_m"),
-        (F.col("duration_s") + F.col("x_s")).alias("duration_s"), F.col("hops"), F.col("path"), F.col("x_m").alias("last_m"),
+        out_cost.alias("cost"), "node", "toll", (F.col("distance_m") + F.col("x_m")).alias("distance_m"),
+        (F.col("duration_s") + F.col("x_s")).alias("duration_s"), "hops", F.col("x_m").alias("last_m"),
     )
-    best = state.join(exits, "node").groupBy(*SEARCH, "destination_id").agg(F.min(order).alias("r"))
+    best = ends.groupBy(*SEARCH, "destination_id").agg(F.min(order).alias("r")).select(*SEARCH, "destination_id", "r.*")
+    walked = walk_back(best, state, SEARCH)
+    path = F.transform("path", lambda v: F.floor(v["node"] / 2) * 8 + F.coalesce(v["kind"], F.lit(ENTRY)))
+    found = walked.select(*SEARCH, "destination_id", "toll", "distance_m", "duration_s", "hops", path.alias("path"), "last_m")
     stay = groups.where("origin_id = destination_id").select("origin_id", "vehicle_class", "destination_id").distinct()
     home = search.join(stay, ["origin_id", "vehicle_class"]).select(
-        *SEARCH, "destination_id", *[zero.alias(c) for c in ("cost", "toll", "distance_m", "duration_s")],
+        *SEARCH, "destination_id", *[zero.alias(c) for c in ("toll", "distance_m", "duration_s")],
         F.lit(0).alias("hops"), F.array().cast("array<bigint>").alias("path"), zero.alias("last_m"),
     )
-    found = best.join(goal, [*SEARCH, "destination_id"], "left_semi").select(*SEARCH, "destination_id", "r.*")
-    return found.unionByName(home).join(search.select(*SEARCH, "vot"), SEARCH)
+    # The cost that is reported is worked out from the totals, without the tie steps.
+    priced = found.unionByName(home).join(search, SEARCH)
+    return priced.withColumn("cost", weighted(F.col("toll"), F.col("distance_m"), F.col("duration_s"))).drop("k_toll", "k_m", "k_s")
