@@ -21,7 +21,7 @@ HEADLINE = [
     "resolve_blank_endpoints", "apply_rematch", "transfer_pairs", "colocated_aliases", "physical_clusters",
     "snap_to_road", "features_in_radius", "gates_on_route", "distance_checks", "gate_error_vote", "row_rejects",
     "error_percentiles", "isolation_summary", "gate_score", "edges_toll", "edges_free", "graph_stats", "edge_costs",
-    "along_route_spacing", "route_sections", "segment_merge",
+    "along_route_spacing", "route_sections", "segment_merge", "request_results",
 ]
 
 

@@ -50,8 +50,8 @@ def checking_texts() -> dict[str, str]:
 
 def hav(lat1: str, lon1: str, lat2: str, lon2: str, radius: float) -> str:
     return (
-        f"({2 * radius} * asin(least(1.0, sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2)"
-        f" + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)))))"
+        f"(CASE WHEN {lat1} + {lon1} + {lat2} + {lon2} IS NOT NULL THEN {2 * radius} * asin(least(1.0, sqrt(pow(sin(radians({lat2} - {lat1}) / 2), 2)"
+        f" + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2)))) END)"
     )
 
 

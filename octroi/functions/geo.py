@@ -18,13 +18,14 @@ L93_LON0 = 3.0
 
 
 def haversine(lat1, lon1, lat2, lon2, radius: float = EARTH_RADIUS_M) -> Column:
-    """Great-circle distance in the unit of `radius`."""
+    """Great-circle distance in the unit of `radius`; NULL where a coordinate is missing."""
     a1, o1, a2, o2 = (F.col(c) if isinstance(c, str) else c for c in (lat1, lon1, lat2, lon2))
     half = (
         F.pow(F.sin(F.radians(a2 - a1) / 2), F.lit(2.0))
         + F.cos(F.radians(a1)) * F.cos(F.radians(a2)) * F.pow(F.sin(F.radians(o2 - o1) / 2), F.lit(2.0))
     )
-    return F.lit(2 * radius) * F.asin(F.least(F.lit(1.0), F.sqrt(half)))
+    # A plain LEAST would skip a NULL and turn a missing coordinate into half the globe.
+    return F.lit(2 * radius) * F.asin(F.when(half > 1.0, F.lit(1.0)).otherwise(F.sqrt(half)))
 
 
 def _conic(lat, lon) -> tuple[Column, Column]:
