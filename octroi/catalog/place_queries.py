@@ -117,7 +117,7 @@ view("prices", "SELECT from_gare_id, to_gare_id, min(class1) AS price FROM {fare
 )
 def _(x):
     p = audits.cheapest_fares(x.fares)
-    return places.alias_fare(p, aliases(x), p)
+    return places.alias_fare(p, x.gates, p)
 
 
 # --- roads and features ------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from octroi.catalog.audit_queries import r
 from octroi.catalog.cleaning_queries import joined
-from octroi.catalog.place_queries import aliases, on_route
+from octroi.catalog.place_queries import on_route
 from octroi.catalog.registry import query, view
 from octroi.operators import audits, places, sections, summaries
 
@@ -76,7 +76,7 @@ view(
 
 
 def links(x):
-    return x.stored("section_links", lambda: sections.section_links(secs(x), aliases(x), audits.cheapest_fares(x.fares)))
+    return x.stored("section_links", lambda: sections.section_links(secs(x), x.gates, audits.cheapest_fares(x.fares)))
 
 
 @query("section_links", "SELECT * FROM {links}")

@@ -77,16 +77,50 @@ def colocated_aliases(gates: DataFrame, radius_m: float = ALIAS_M) -> DataFrame:
     )
 
 
-def alias_fare(pairs: DataFrame, aliases: DataFrame, prices: DataFrame) -> DataFrame:
+def alias_classes(gates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gare_id, cls) and (cls, alias_cls): records with one place and one road tag share a class.
+
+    Such records have the same aliases, so prices can be compared per class; copies of one record
+    then cost one row instead of a row per pair.
+    """
+    g = with_lambert(gates.where("lat IS NOT NULL AND lon IS NOT NULL")).select("gare_id", "x", "y", F.coalesce("primary_route", F.lit("")).alias("primary_route"))
+    reps = g.groupBy("x", "y", "primary_route").agg(F.min("gare_id").alias("cls"))
+    member = g.join(reps, ["x", "y", "primary_route"]).select("gare_id", "cls")
+
+    def side(p):
+        return reps.select(F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y"), F.col("cls").alias(f"{p}_cls"), F.col("primary_route").alias(f"{p}_road"))
+
+    fits = (F.col("a_road") == "") | (F.col("b_road") == "") | (F.col("a_road") == F.col("b_road"))
+    pairs = near_planar(g, g, ALIAS_M).join(side("a"), ["ax", "ay"]).join(side("b"), ["bx", "by"]).where(fits)
+    return member, pairs.select(F.col("a_cls").alias("cls"), F.col("b_cls").alias("alias_cls"))
+
+
+def class_prices(gates: DataFrame, prices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gare_id, cls) and the highest price over all aliases of both ends per pair of classes."""
+    member, alias = alias_classes(gates)
+
+    def end(p, col):
+        return member.select(F.col("gare_id").alias(col), F.col("cls").alias(p))
+
+    between = (
+        prices.join(end("x", "from_gare_id"), "from_gare_id").join(end("y", "to_gare_id"), "to_gare_id")
+        .groupBy("x", "y").agg(F.max("price").alias("price"))
+    )
+    spread = (
+        between.join(alias.select(F.col("alias_cls").alias("x"), F.col("cls").alias("a_cls")), "x")
+        .join(alias.select(F.col("alias_cls").alias("y"), F.col("cls").alias("b_cls")), "y")
+        .groupBy("a_cls", "b_cls").agg(F.max("price").alias("price"))
+    )
+    return member, spread
+
+
+def alias_fare(pairs: DataFrame, gates: DataFrame, prices: DataFrame) -> DataFrame:
     """Highest price of each asked (from_gare_id, to_gare_id) over the aliases of both ends."""
-    a = aliases.select(F.col("gare_id").alias("from_gare_id"), F.col("alias_id").alias("af"))
-    b = aliases.select(F.col("gare_id").alias("to_gare_id"), F.col("alias_id").alias("at"))
-    p = prices.select(F.col("from_gare_id").alias("af"), F.col("to_gare_id").alias("at"), "price")
+    member, spread = class_prices(gates, prices)
+    a = member.select(F.col("gare_id").alias("from_gare_id"), F.col("cls").alias("a_cls"))
+    b = member.select(F.col("gare_id").alias("to_gare_id"), F.col("cls").alias("b_cls"))
     asked = pairs.select("from_gare_id", "to_gare_id").distinct()
-    return (
-        asked.join(a, "from_gare_id").join(b, "to_gare_id").join(p, ["af", "at"])
-        .groupBy("from_gare_id", "to_gare_id").agg(F.max("price").alias("price"))
-    )
+    return asked.join(a, "from_gare_id").join(b, "to_gare_id").join(spread, ["a_cls", "b_cls"]).select("from_gare_id", "to_gare_id", "price")
 
 
 def snap_to_road(gates: DataFrame, roads: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from octroi.operators.places import class_prices
 from octroi.operators.ranking import row_positions, running_total
 from octroi.operators.relax import relax, tie_step
 from octroi.operators.spatial import points_near_polylines
@@ -99,21 +100,17 @@ def thin_pairs(sections: DataFrame) -> DataFrame:
     )
 
 
-def section_links(sections: DataFrame, aliases: DataFrame, prices: DataFrame) -> DataFrame:
+def section_links(sections: DataFrame, gates: DataFrame, prices: DataFrame) -> DataFrame:
     """(route, section, i, j, price): the highest alias price between two gates of a section.
 
-    Starts from the fares of each gate, so only pairs that have a fare are ever formed.
+    Starts from the priced pairs of alias classes, so only pairs that have a fare are ever formed.
     """
-    gate_links = (
-        prices.select(F.col("from_gare_id").alias("x"), F.col("to_gare_id").alias("y"), "price")
-        .join(aliases.select(F.col("alias_id").alias("x"), F.col("gare_id").alias("a")), "x")
-        .join(aliases.select(F.col("alias_id").alias("y"), F.col("gare_id").alias("b")), "y")
-        .groupBy("a", "b")
-        .agg(F.max("price").alias("price"))
-    )
-    src = sections.select(*SECTION, "i", F.col("gare_id").alias("a"))
-    dst = sections.select(*SECTION, F.col("i").alias("j"), F.col("gare_id").alias("b"))
-    return src.join(gate_links, "a").join(dst, [*SECTION, "b"]).where("i < j").groupBy(*SECTION, "i", "j").agg(F.max("price").alias("price"))
+    member, spread = class_prices(gates, prices)
+    at = sections.select(*SECTION, "i", "gare_id").join(member, "gare_id")
+    src = at.select(*SECTION, "i", F.col("cls").alias("a_cls"))
+    dst = at.select(*SECTION, F.col("i").alias("j"), F.col("cls").alias("b_cls"))
+    met = src.join(spread, "a_cls").join(dst, [*SECTION, "b_cls"]).where("i < j")
+    return met.groupBy(*SECTION, "i", "j").agg(F.max("price").alias("price"))
 
 
 def section_runs(sections: DataFrame, links: DataFrame) -> DataFrame:
