@@ -257,8 +257,7 @@ def error_percentiles(checks: DataFrame) -> DataFrame:
     e = checks.select(F.abs("error").alias("e"))
     picks = {"median": 50, "p75": 75, "p90": 90, "p95": 95, "p99": 99}
     ranks = {k: indexed_percent(p) for k, p in picks.items()} | {"max": F.col("n")}
-    stats = order_statistics(e, [], "e", ranks)
-    return stats.withColumn("mean", e.agg(F.avg("e")).scalar()).select("n", "mean", *picks, "max")
+    return order_statistics(e, [], "e", ranks, with_mean=True).select("n", "mean", *picks, "max")
 
 
 def distance_source_agreement(checks: DataFrame, live: DataFrame, size: int = SOURCE_SAMPLE) -> DataFrame:

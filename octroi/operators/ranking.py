@@ -60,7 +60,7 @@ def running_total(df: DataFrame, keys: list[str], order: str, slice_expr: Column
 
 
 def order_statistics(
-    df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column]
+    df: DataFrame, keys: list[str], value: str, ranks: dict[str, Column], with_mean: bool = False
 ) -> DataFrame:
     """Exact values at 1-based ranks per group; `ranks` are expressions over the group size `n`.
 
@@ -74,19 +74,20 @@ def order_statistics(
         sliced, keys, plain = sliced.withColumn("_all", F.lit(1)), ["_all"], True
     else:
         plain = False
-    totals = sliced.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_t"))
+    totals = sliced.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_t"), F.sum(F.col(value) * F.col("_c")).alias("_s"))
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
     wanted = (
         totals.withColumn("_off", F.coalesce(F.sum("_t").over(before), F.lit(0)))
         .withColumn("n", F.sum("_t").over(whole))
+        .withColumn("mean", F.sum("_s").over(whole) / F.col("n"))
         .withColumn(
             "_want",
             F.array(*[F.struct(F.lit(k).alias("stat"), r.cast("bigint").alias("rank")) for k, r in ranks.items()]),
         )
-        .select(*keys, "_slice", "_off", "_t", "n", F.explode("_want").alias("_w"))
+        .select(*keys, "_slice", "_off", "_t", "n", "mean", F.explode("_want").alias("_w"))
         .where((F.col("_w.rank") > F.col("_off")) & (F.col("_w.rank") <= F.col("_off") + F.col("_t")))
-        .groupBy(*keys, "_slice", "_off", "n")
+        .groupBy(*keys, "_slice", "_off", "n", "mean")
         .agg(F.collect_list("_w").alias("_ws"))
     )
     local = Window.partitionBy(*keys, "_slice").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
@@ -96,9 +97,10 @@ def order_statistics(
         .withColumn("_w", F.explode("_ws"))
         .where((F.col("_w.rank") <= F.col("_hi")) & (F.col("_w.rank") > F.col("_hi") - F.col("_c")))
     )
-    out = hits.groupBy(*keys, "n").agg(
+    out = hits.groupBy(*keys, "n", "mean").agg(
         *[F.max(F.when(F.col("_w.stat") == k, F.col(value))).alias(k) for k in ranks]
     )
+    out = out if with_mean else out.drop("mean")
     return out.drop("_all") if plain else out
 
 
