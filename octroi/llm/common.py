@@ -135,16 +135,24 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (pafs.LocalFileSystem(), uri)
 
 
-def commit_file(folder: str, name: str, content: bytes) -> str:
-    """Writes under a temporary name, then renames. The final name is unique to the attempt, so a
-    repeated or speculative task never touches another attempt's file; the manifest, which Spark
-    commits once for each task, says which one counts."""
+def commit_file(folder: str, name: str, content: bytes, unique: bool = True) -> str:
+    """Writes under a temporary name, then renames, so no reader ever sees part of a file.
+
+    unique: the final name is the attempt's own, and the manifest, which Spark commits once for each
+    task, says which one counts. Otherwise the name is fixed: for content that every attempt repeats.
+    """
     fs, path = file_system(folder)
     fs.create_dir(path, recursive=True)
-    final = f"{name}-{uuid.uuid4().hex[:12]}"
-    with fs.open_output_stream(f"{path}/.tmp-{final}") as out:
+    attempt = uuid.uuid4().hex[:12]
+    final = f"{name}-{attempt}" if unique else name
+    with fs.open_output_stream(f"{path}/.tmp-{name}-{attempt}") as out:
         out.write(content)
-    fs.move(f"{path}/.tmp-{final}", f"{path}/{final}")
+    try:
+        fs.move(f"{path}/.tmp-{name}-{attempt}", f"{path}/{final}")
+    except OSError:  # stores that don't rename over a file: another attempt has put the same content there
+        if unique or fs.get_file_info(f"{path}/{final}").size != len(content):
+            raise
+        fs.delete_file(f"{path}/.tmp-{name}-{attempt}")
     return final
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from octroi.llm.common import table
 from octroi.llm.token_store import token_store
+from octroi.llm.warc import archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +28,18 @@ def query(name: str, oracle: str | None = None):
 @query("op5_token_store")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query(
+    "op9_warc",
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+    q AS (SELECT *, strlen(html) AS n, max(page_id) OVER (PARTITION BY html) AS largest FROM p)
+    SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+        CASE WHEN n >= 1000 AND page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN n >= 1000 AND page_id < largest THEN largest END AS refers_to
+    FROM q
+    """,
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
