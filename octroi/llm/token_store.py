@@ -20,6 +20,7 @@ import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,9 @@ BLOCK = 4096
 #: Ids after which a part file is closed; at 16 bits 16 MB.
 FILE_IDS = 8 << 20
 #: Distinct words kept between batches of a Python worker.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 500_000
+#: Stands between words that are encoded together; words that hold it are encoded one by one.
+MARK = "\x01"
 
 
 def bits_for(vocabulary: int) -> int:
@@ -92,6 +95,19 @@ class TokenFile:
         return self.ids(int(self.first[k]), int(self.first[k + 1]))
 
 
+class Numbers(dict):
+    """Numbers words in the order in which they are first asked for; `new` are those not yet encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.new.append(word)
+        self[word] = len(self)
+        return len(self) - 1
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer whose pieces never cross ASCII white space.
 
@@ -103,33 +119,42 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Numbers()
         self.first, self.count, self.store, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 20, np.uint32), 0
 
     def learn(self, words: list[bytes]) -> None:
-        coded = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        count = np.array([len(c) for c in coded], np.int64)
-        flat = np.array([i for c in coded for i in c], np.uint32)
-        while self.used + len(flat) > len(self.store):
-            self.store = np.concatenate([self.store, np.zeros(len(self.store), np.uint32)])
-        self.store[self.used : self.used + len(flat)] = flat
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.first = np.concatenate([self.first, self.used + np.cumsum(count) - count])
-        self.count = np.concatenate([self.count, count])
-        self.used += len(flat)
+        """Encodes new words, many in one call, with a mark between them that none of them holds."""
+        for i in range(0, len(words), 2000):
+            text = [w.decode() for w in words[i : i + 2000]]
+            if any(MARK in t for t in text):
+                coded = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t in text]
+                flat, count = np.concatenate(coded), np.array([len(c) for c in coded])
+            else:
+                joined = self.tokenizer.encode_batch_fast([f" {MARK} ".join([*text, ""])], add_special_tokens=False)[0]
+                ids = np.array(joined.ids, np.uint32)
+                marks = np.flatnonzero(ids == self.mark)
+                flat, count = np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
+            while self.used + len(flat) > len(self.store):
+                self.store = np.concatenate([self.store, np.zeros(len(self.store), np.uint32)])
+            self.store[self.used : self.used + len(flat)] = flat
+            self.first = np.concatenate([self.first, self.used + np.cumsum(count) - count])
+            self.count = np.concatenate([self.count, count])
+            self.used += len(flat)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and the number of each text."""
         if len(self.known) > CACHE_WORDS:
             self.clear()
         words = [t.split() for t in texts]
-        flat = [w for ws in words for w in ws]
-        if new := list({w for w in flat if w not in self.known}):
-            self.learn(new)
+        flat = list(chain.from_iterable(words))
         k = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        if new := self.known.new:
+            self.learn(new)
+            self.known.new = []
         count = self.count[k]
         ends = np.cumsum(count)
         index = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[k] - (ends - count), count)

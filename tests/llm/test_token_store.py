@@ -36,7 +36,7 @@ def expected(texts):
 @given(st.lists(st.text(max_size=60), max_size=8))
 @settings(max_examples=150, deadline=None)
 def test_words_give_the_librarys_ids(texts):
-    texts = texts + ["a <|endoftext|>b's ΟΔΟΣ́ é ́x y\x1cz q", "It'll  do\n\tthis"]
+    texts = texts + ["\x01\x02 a\x01b \x01", "a <|endoftext|>b's ΟΔΟΣ́ é ́x y\x1cz q", "It'll  do\n\tthis"]
     ids, n = ts.encoder(PATH)([x.encode("utf-8", "ignore") for x in texts])
     want = [w[:-1] for w in expected([x.encode("utf-8", "ignore").decode() for x in texts])]
     assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
