@@ -40,16 +40,20 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def with_revisits(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, refers_to. Counts are gathered before pages meet them, so only payloads
-    that occur twice are looked up; a payload held by very many pages is a large key that the
-    adaptive join splits."""
+    """The pages, and before each page that is a revisit a row (kind 0) that says to which page.
+
+    Only ids and payload hashes are grouped and joined; the payloads themselves move once, in the range
+    sort, which puts such a row right before its pages. A payload held by very many pages is counted
+    with map-side combine, and its key in the join is split by the adaptive planner.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    long = F.octet_length("html") >= REVISIT_FROM
-    rows = rows.withColumn("same", F.when(long, F.sha2("html", 256)))
-    groups = rows.where("same is not null").groupBy("same").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1 and largest is not null")
-    joined = rows.join(groups.select("same", "largest"), "same", "left")
-    keeps = F.col("page_id").eqNullSafe(F.col("largest"))
-    return joined.select("page_id", "url", "html", F.when(~keeps, F.col("largest")).alias("refers_to"))
+    rows = rows.withColumn("same", F.when(F.octet_length("html") >= REVISIT_FROM, F.sha2("html", 256)))
+    ids = rows.where("same is not null").select("page_id", "same")
+    groups = ids.groupBy("same").agg(F.max("page_id").alias("largest"), F.count("*").alias("n")).where("n > 1 and largest is not null")
+    revisits = ids.join(groups, "same").where("page_id is null or page_id <> largest").select("page_id", "same", "largest").distinct()
+    marks = revisits.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "same", F.lit(0).alias("kind"), F.col("largest").alias("refers_to"))
+    both = marks.union(rows.select("page_id", "url", "html", "same", F.lit(1), F.lit(None).cast("long")))
+    return both.repartitionByRange("page_id").sortWithinPartitions("page_id", "same", "kind", "url", "html")
 
 
 def digest(data: bytes) -> str:
@@ -98,12 +102,17 @@ def write_warc(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z"
             open_file.clear()
             return row
 
+        mark = {"page_id": None, "same": None, "refers_to": None}
         for batch in batches:
             for row in batch.to_pylist():
+                if row["kind"] == 0:
+                    mark = row
+                    continue
+                to = mark["refers_to"] if row["same"] and (mark["page_id"], mark["same"]) == (row["page_id"], row["same"]) else None
                 if not open_file:
                     name = f"shard-{part:06d}-{seq:06d}.warc.gz"
                     open_file.append(member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(SPACE, name)}>"), ("WARC-Date", date), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
-                open_file.append(page_record(row["page_id"], row["url"], row["html"].encode(), row["refers_to"], date))
+                open_file.append(page_record(row["page_id"], row["url"], row["html"].encode(), to, date))
                 size += len(open_file[-1])
                 if size >= file_bytes:
                     yield close()
@@ -111,8 +120,7 @@ def write_warc(pages: DataFrame, folder: str, date: str = "1970-01-01T00:00:00Z"
             yield close()
 
     small_batches(pages.sparkSession)
-    rows = with_revisits(pages).repartitionByRange("page_id").sortWithinPartitions("page_id", "url", "html")
-    return rows.mapInArrow(write, MANIFEST)
+    return with_revisits(pages).mapInArrow(write, MANIFEST)
 
 
 def records(content) -> Iterator[tuple[dict[str, str], bytes]]:
