@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -24,6 +25,12 @@ def small_batches(spark: SparkSession, rows: int = 2000, size: str = "16m") -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished jobs now: it does so when the driver's garbage goes."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Concatenated UTF-8 bytes of a string column and n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

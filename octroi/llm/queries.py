@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from octroi.llm.common import table
 from octroi.llm.odd_sketch import near_duplicates
 from octroi.llm.phrase_index import decontaminate
+from octroi.llm.repeats import remove_repeats
 from octroi.llm.token_store import token_store
 from octroi.llm.warc import archive
 
@@ -81,3 +82,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_near_duplicates")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_repeats")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
