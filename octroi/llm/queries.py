@@ -7,11 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from octroi.llm.byte_cnn import quality
 from octroi.llm.common import table
 from octroi.llm.odd_sketch import near_duplicates
 from octroi.llm.phrase_index import decontaminate
 from octroi.llm.repeats import remove_repeats
 from octroi.llm.token_store import token_store
+from octroi.llm.toxicity import toxicity
 from octroi.llm.warc import archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +89,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_repeats")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_quality")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
