@@ -7,7 +7,7 @@ logit of its probability. Embedding, filters and dense layers are learned togeth
 at most about `SAMPLE` labelled rows on the driver; documents are scored in tasks.
 
 Cases: a null or empty text is one empty chunk. Chunks are filled up with zero bytes. Without labels, or
-with labels of one kind only, the score is their smoothed share. Repeated rows score alike. A long text
+with labels of one kind only, the score is their smoothed share. Repeated rows score alike to single precision. A long text
 is scored in pieces of bounded size. An empty table gives no rows.
 """
 

@@ -14,6 +14,7 @@ from octroi.llm.phrase_index import decontaminate
 from octroi.llm.repeats import remove_repeats
 from octroi.llm.token_store import token_store
 from octroi.llm.toxicity import toxicity
+from octroi.llm.url_templates import checking_sql, filter_urls
 from octroi.llm.warc import archive
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +100,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_quality")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: The rules of the query: verdict, host, beginning of the path.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query("op8_url_templates", checking_sql(URL_RULES))
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
