@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from octroi.llm.byte_cnn import quality
 from octroi.llm.common import table
+from octroi.llm.kmeans_tree import search
 from octroi.llm.odd_sketch import near_duplicates
 from octroi.llm.phrase_index import decontaminate
 from octroi.llm.repeats import remove_repeats
@@ -109,3 +110,8 @@ URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow",
 @query("op8_url_templates", checking_sql(URL_RULES))
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op6_nearest_neighbours")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"))

@@ -28,16 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from octroi.llm.common import byte_column, commit_file, read_file, small_batches
+from octroi.llm.common import commit_file, read_file, small_batches, steps
 from octroi.session import scratch_path
 
 MAGIC = b"OCTPACK1"
 HEAD = struct.Struct("<8sIIQQQ")
 BLOCK = 4096
-#: Ids after which a part file is closed; at 16 bits 16 MB.
-FILE_IDS = 8 << 20
-#: Distinct words kept between batches of a Python worker.
-CACHE_WORDS = 500_000
+#: Ids after which a part file is closed; at 16 bits 8 MB.
+FILE_IDS = 4 << 20
+#: Bytes of text encoded at once; distinct words kept between batches of a Python worker.
+STEP, CACHE_WORDS = 512 << 10, 300_000
 #: Stands between words that are encoded together; words that hold it are encoded one by one.
 MARK = "\x01"
 
@@ -198,9 +198,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, vocabulary: int =
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["part", "seq", "file", "n_docs", "n_ids", "before"])
 
         for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                rows = batch.slice(i, 500)
-                data, at = byte_column(rows.column(1))
+            for rows, data, at in steps([batch], size=STEP):
                 raw = data.tobytes()
                 ids, n = code([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
                 if end_id is not None:
