@@ -168,3 +168,15 @@ def quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFra
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return named.mapInArrow(score, "doc_id long, score double").select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of `docs` that `quality` accepts, with all their columns; they are judged where they are read."""
+    small_batches(docs.sparkSession)
+    net = learn(docs, labels, sample=sample)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, at in steps(batches):
+            yield rows.filter(pa.array(score_texts(net, data, at) >= THRESHOLD))
+
+    return docs.mapInArrow(keep, docs.schema)

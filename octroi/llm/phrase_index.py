@@ -42,7 +42,7 @@ FILE_TERMS = 1 << 20
 MEMBER = np.zeros(256, bool)
 MEMBER[0x30:0x3A] = MEMBER[0x61:0x7B] = MEMBER[0x80:] = True
 
-INDEX = "doc_id array<long>, first binary, terms binary, starts binary, positions binary"
+INDEX = "doc_id array<long>, print array<long>, first binary, terms binary, starts binary, positions binary"
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,18 +62,18 @@ def build_index(docs: DataFrame) -> DataFrame:
             ranked = term[order]
             begin = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else np.zeros(0, np.int64)
             one = lambda a: binary_rows(a, np.array([0, len(a)]))
-            ids = pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column(0))
-            yield pa.RecordBatch.from_arrays([ids, one(first.astype(np.uint32)), one(ranked[begin]), one(np.append(begin, len(ranked)).astype(np.uint32)), one(order.astype(np.uint32))], names=["doc_id", "first", "terms", "starts", "positions"])
+            listed = lambda c: pa.ListArray.from_arrays(pa.array([0, rows.num_rows], pa.int32()), rows.column(c))  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([listed(0), listed(2), one(first.astype(np.uint32)), one(ranked[begin]), one(np.append(begin, len(ranked)).astype(np.uint32)), one(order.astype(np.uint32))], names=["doc_id", "print", "first", "terms", "starts", "positions"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(build, INDEX)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("print")).mapInArrow(build, INDEX)
 
 
 class Block:
     """One row of the index."""
 
     def __init__(self, row: dict):
-        self.doc_id = row["doc_id"]
+        self.doc_id, self.print = row["doc_id"], row["print"]
         self.first = np.frombuffer(row["first"], np.uint32).astype(np.int64)
         self.terms = np.frombuffer(row["terms"], np.uint64)
         self.starts = np.frombuffer(row["starts"], np.uint32).astype(np.int64)
@@ -216,11 +216,11 @@ def found(block: Block, folder: str, files: list[str], within: int | None = None
             yield np.concatenate(where), np.diff(w.at)[which], w.item[which], w.names
 
 
-RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+RESULT = "doc_id long, print long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
 def contamination(index: DataFrame, items: DataFrame) -> DataFrame:
-    """One row for each document of the index: words, words inside a benchmark window, items, verdict."""
+    """One row for each document of the index: words, words inside a benchmark window, items, verdict; print is xxhash64 of the text."""
     folder = scratch_path(index.sparkSession, "windows")
     files = write_windows(items, folder)
 
@@ -239,8 +239,8 @@ def contamination(index: DataFrame, items: DataFrame) -> DataFrame:
             n_hit = np.diff(total[block.first])
             lists = [sorted(names.get(k, ())) for k in range(len(n_words))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block.doc_id, pa.int64()), pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in lists], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists]), pa.array((n_hit > 0) & (ONE_IN * n_hit >= n_words))],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+                [pa.array(block.doc_id, pa.int64()), pa.array(block.print, pa.int64()), pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in lists], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in lists]), pa.array((n_hit > 0) & (ONE_IN * n_hit >= n_words))],
+                names=["doc_id", "print", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
     return index.mapInArrow(judge, RESULT)
@@ -255,4 +255,11 @@ def stored_index(docs: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    return contamination(stored_index(docs), items)
+    return contamination(stored_index(docs), items).drop("print")
+
+
+def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The rows of `docs` that aren't contaminated, with all their columns. A row is known by doc_id and text."""
+    bad = contamination(stored_index(docs), items).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("print").alias("bad_print"))
+    same = F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("text") == F.col("bad_print"))
+    return docs.join(bad, same, "left_anti")

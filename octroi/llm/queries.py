@@ -7,11 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from octroi.llm.byte_cnn import quality
 from octroi.llm.common import table
 from octroi.llm.kmeans_tree import search
 from octroi.llm.odd_sketch import near_duplicates
 from octroi.llm.phrase_index import decontaminate
+from octroi.llm.piece_sampler import sampled_pieces
 from octroi.llm.repeats import remove_repeats
 from octroi.llm.token_store import token_store
 from octroi.llm.toxicity import toxicity
@@ -115,3 +117,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_nearest_neighbours")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_piece_sampling")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

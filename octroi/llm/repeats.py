@@ -75,10 +75,10 @@ def anchors_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[lo], name[a], span, lo, a - lo, hi - lo
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("print"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("print"), text.alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
 
 
 def anchors(docs: DataFrame) -> DataFrame:
@@ -211,16 +211,18 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, texts: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of each row of `docs` (doc_id, text).
 
-    texts: also `text`, what is left; a character that lost some of its bytes is left out.
+    texts: also `text`, what is left; a character that lost some of its bytes is left out. carry: further
+    columns of `docs` to keep.
     """
-    rows = keyed(docs)
-    windows = written(repeated_windows(rows), "windows")
+    rows = keyed(docs, carry)
+    windows = written(repeated_windows(rows.select("doc_id", "print", "text")), "windows")
     release(docs.sparkSession)
     of_doc = windows.groupBy("doc_id", "print").agg(F.collect_list(F.struct("lo", "hi")).alias("windows"))  # runs within one text
-    joined = rows.join(of_doc, (rows["print"] == of_doc["print"]) & rows["doc_id"].eqNullSafe(of_doc["doc_id"]), "left").select(rows["doc_id"], "text", "windows")
+    joined = rows.join(of_doc, (rows["print"] == of_doc["print"]) & rows["doc_id"].eqNullSafe(of_doc["doc_id"]), "left").select(rows["doc_id"], "text", "windows", *(F.col(f"carried_{c}").alias(c) for c in carry))
+    kinds = dict(docs.dtypes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, at in steps(batches):
@@ -238,6 +240,6 @@ def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if texts:
                 out, names = [*out, pa.array([k.decode("utf-8", "ignore") for k in kept])], [*names, "text"]
-            yield pa.RecordBatch.from_arrays(out, names=names)
+            yield pa.RecordBatch.from_arrays([*out, *part.columns[3:]], names=[*names, *carry])
 
-    return joined.mapInArrow(cut, RESULT + ", text string" * texts)
+    return joined.mapInArrow(cut, RESULT + ", text string" * texts + "".join(f", {c} {kinds[c]}" for c in carry))
