@@ -162,14 +162,14 @@ view(
 
 @query(
     "matrix_from_legs",
-    """SELECT from_pid, to_pid, round(CAST(arg_max(CAST(tolled_s AS FLOAT), leg_no) AS DOUBLE), 1) AS tolled_s, CAST(arg_max(CAST(tolled_m AS FLOAT), leg_no) AS DOUBLE) AS tolled_m
-  FROM (SELECT from_pid, to_pid, 1 AS leg_no, tolled_s + 1 AS tolled_s, tolled_m + 1 AS tolled_m FROM {legs} WHERE (from_pid + to_pid) % 5 = 0 AND tolled_s IS NOT NULL
-    UNION ALL SELECT from_pid, to_pid, 2, tolled_s, tolled_m FROM {legs} WHERE to_pid % 31 <> 3 AND tolled_s IS NOT NULL) GROUP BY ALL""",
+    """SELECT from_pid, to_pid, round(CAST(arg_max_null(CAST(tolled_s AS FLOAT), leg_no) AS DOUBLE), 1) AS tolled_s, CAST(arg_max_null(CAST(tolled_m AS FLOAT), leg_no) AS DOUBLE) AS tolled_m,
+    round(CAST(arg_max_null(CAST(free_s AS FLOAT), leg_no) AS DOUBLE), 1) AS free_s, CAST(arg_max_null(CAST(free_m AS FLOAT), leg_no) AS DOUBLE) AS free_m
+  FROM (SELECT from_pid, to_pid, 1 AS leg_no, tolled_s + 1 AS tolled_s, tolled_m + 1 AS tolled_m, free_s, free_m FROM {legs} WHERE (from_pid + to_pid) % 5 = 0
+    UNION ALL SELECT from_pid, to_pid, 2, tolled_s, tolled_m, free_s, free_m FROM {legs} WHERE to_pid % 31 <> 3) GROUP BY ALL""",
 )
 def _(x):
-    raw = x.spark.sql(VIEWS["raw_legs"], legs=x.legs)
-    m = matrix.from_legs(raw.where("tolled_s IS NOT NULL"), x.points)
-    return m.select("from_pid", "to_pid", r("tolled_s", 1), "tolled_m")
+    m = matrix.from_legs(x.spark.sql(VIEWS["raw_legs"], legs=x.legs), x.points)
+    return m.select("from_pid", "to_pid", r("tolled_s", 1), "tolled_m", r("free_s", 1), "free_m")
 
 
 view(
@@ -379,7 +379,7 @@ def _(x):
     return j.select("operator", "from_gare", "to_gare", "vehicle_class", r("fare_eur", 6), r("error_pct", 6), "passed")
 
 
-view("named_pairs", "SELECT DISTINCT 'P' || CAST(from_gare_id AS STRING) || '-' || CAST(to_gare_id AS STRING) AS label, from_gare_id, to_gare_id FROM {fares} WHERE class1 > 0 AND from_gare_id < to_gare_id AND start_time = '00:00'")
+view("named_pairs", "SELECT DISTINCT 'P' || CAST(from_gare_id AS STRING) || '-' || CAST(to_gare_id AS STRING) AS label, from_gare_id, to_gare_id FROM {fares} WHERE class1 > 0 AND start_time = '00:00' AND from_gare_id IS NOT NULL AND to_gare_id IS NOT NULL")
 
 
 @query(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from octroi.catalog.registry import hav, norm_name, pipe_list, query, tokens, view
+from octroi.catalog.registry import flag_cases, hav, norm_name, pipe_list, query, tokens, view
 from octroi.functions import text
 from octroi.operators import cleaning, resolve
 from octroi.sources.standins import Inputs
@@ -157,14 +157,9 @@ def _(x):
     return suspects(x)
 
 
-_FLAG_CASES = ", ".join(
-    f"CASE WHEN regexp_matches(lower(canonical_name), '{p}') THEN '{f}' END" for p, f in cleaning.NAME_PATTERNS
-)
-
-
 @query(
     "name_flags",
-    f"SELECT gare_id, coalesce(array_to_string(list_filter([{_FLAG_CASES}], lambda s: s IS NOT NULL), '|'), '') AS flags FROM {{gates}}",
+    f"SELECT gare_id, coalesce(array_to_string(list_filter([{flag_cases()}], lambda s: s IS NOT NULL), '|'), '') AS flags FROM {{gates}}",
 )
 def _(x):
     return x.gates.select("gare_id", F.array_join(cleaning.name_flags(F.col("canonical_name")), "|").alias("flags"))

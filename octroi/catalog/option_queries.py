@@ -213,7 +213,7 @@ def _(x):
     return o.select(*req.GROUP, joined("chain", ",").alias("chain"), rid.alias("route_id"))
 
 
-view("direct", "SELECT origin_id, destination_id, min(r.s) * 0.9 AS direct_s, min(r.m) * 0.9 AS direct_m FROM {rts} WHERE mode = 0 AND origin_id % 5 <> 3 GROUP BY ALL")
+view("direct", "SELECT origin_id, destination_id, min(r.s) * 0.9 AS direct_s, min(r.m) * 0.9 AS direct_m FROM {rts} WHERE mode = 0 GROUP BY ALL")
 
 
 @query(
@@ -221,7 +221,7 @@ view("direct", "SELECT origin_id, destination_id, min(r.s) * 0.9 AS direct_s, mi
     f"SELECT o.origin_id, o.destination_id, o.vehicle_class, o.vot_bucket, chain, round(direct_s, 6) AS direct_s, round(direct_m, 6) AS direct_m FROM {{opts}} o LEFT JOIN {{direct}} d ON d.origin_id = o.origin_id AND d.destination_id = o.destination_id",
 )
 def _(x):
-    fast = routes(x).where("mode = 0 AND origin_id % 5 <> 3 AND origin_id <> destination_id")
+    fast = routes(x).where("mode = 0 AND origin_id <> destination_id")
     direct = fast.groupBy("origin_id", "destination_id").agg((F.min("duration_s") * 0.9).alias("direct_s"), (F.min("distance_m") * 0.9).alias("direct_m"))
     o = options.option_vs_direct(option_table(x), direct)
     return o.select(*req.GROUP, joined("chain", ",").alias("chain"), r("direct_s", 6), r("direct_m", 6))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from octroi.catalog.audit_queries import r
 from octroi.catalog.cleaning_queries import joined, snap_pairs
-from octroi.catalog.registry import VIEWS, hav, pipe_list, query, tokens, view
+from octroi.catalog.registry import VIEWS, flag_cases, hav, pipe_list, query, tokens, view
 from octroi.functions import geo
 from octroi.operators import anchors, audits, cleaning, matrix, places, scoring
 from octroi.operators.ranking import sampled_rows
@@ -125,19 +125,19 @@ def _(x):
 
 @query(
     "snap_to_road",
-    f"SELECT g.gare_id, round(min({hav('g.lat', 'g.lon', 'p.lat', 'p.lon', 6371000.0)}), 3) AS snap_distance_m FROM {{placed}} g CROSS JOIN (SELECT lat, lon FROM {{pois}} WHERE poi_type <> 'ECONOMY') p GROUP BY g.gare_id",
+    f"SELECT g.gare_id, round(min({hav('g.lat', 'g.lon', 'p.lat', 'p.lon', 6371000.0)}), 3) AS snap_distance_m FROM {{placed}} g CROSS JOIN {{pois}} p GROUP BY g.gare_id",
 )
 def _(x):
-    s = places.snap_to_road(x.gates, x.pois.where("poi_type <> 'ECONOMY'"))
+    s = places.snap_to_road(x.gates, x.pois)
     return s.select("gare_id", r("snap_distance_m", 3))
 
 
 @query(
     "features_in_radius",
-    f"SELECT g.gare_id, count(p.lat) AS n_features, count(p.lat) = 0 AS no_infrastructure FROM {{placed}} g LEFT JOIN {{pois}} p ON p.poi_type = 'STANDARD' AND abs(p.lat - g.lat) < 0.01 AND {hav('g.lat', 'g.lon', 'p.lat', 'p.lon', 6371000.0)} <= 300 GROUP BY g.gare_id",
+    f"SELECT g.gare_id, count(p.lat) AS n_features, count(p.lat) = 0 AS no_infrastructure FROM {{placed}} g LEFT JOIN {{pois}} p ON abs(p.lat - g.lat) < 0.01 AND {hav('g.lat', 'g.lon', 'p.lat', 'p.lon', 6371000.0)} <= 300 GROUP BY g.gare_id",
 )
 def _(x):
-    return places.features_in_radius(x.gates, x.pois.where("poi_type = 'STANDARD'"))
+    return places.features_in_radius(x.gates, x.pois)
 
 
 @query("poi_fuzzy_match")
@@ -341,7 +341,7 @@ def _(x):
     return a.select("gare_id", "median_ratio", r("anomaly", 6))
 
 
-_NAME = ", ".join(f"CASE WHEN regexp_matches(lower(canonical_name), '{p}') THEN '{f}' END" for p, f in cleaning.NAME_PATTERNS)
+_NAME = flag_cases()
 view(
     "classified",
     f"""SELECT g.*, d.gare_id IS NOT NULL AS is_duplicate, list_filter([{_NAME}, CASE WHEN sink_only THEN 'OD_SINK_ONLY' END, CASE WHEN source_only THEN 'OD_SOURCE_ONLY' END,
@@ -349,7 +349,7 @@ view(
   FROM {{gates}} g LEFT JOIN {{roles}} USING (gare_id) LEFT JOIN {{dups}} d ON d.gare_id = g.gare_id""",
 )
 view("sig_snap", "SELECT gare_id, gare_id % 3 <> 1 AS snap_toll FROM {gates} WHERE lat IS NOT NULL AND gare_id % 9 <> 5")
-view("sig_feat", f"SELECT g.gare_id, count(p.lat) AS n_features FROM {{placed}} g LEFT JOIN {{pois}} p ON p.poi_type = 'STANDARD' AND abs(p.lat - g.lat) < 0.01 AND {hav('g.lat', 'g.lon', 'p.lat', 'p.lon', 6371000.0)} <= 300 GROUP BY g.gare_id")
+view("sig_feat", f"SELECT g.gare_id, count(p.lat) AS n_features FROM {{placed}} g LEFT JOIN {{pois}} p ON abs(p.lat - g.lat) < 0.01 AND {hav('g.lat', 'g.lon', 'p.lat', 'p.lon', 6371000.0)} <= 300 GROUP BY g.gare_id")
 view("sig_poi", "SELECT gare_id, gare_id % 4 <> 2 AS place_found FROM {gates} WHERE lat IS NOT NULL AND gare_id % 10 <> 7")
 
 
@@ -359,7 +359,7 @@ def signals(x):
         g,
         {
             "snap": x.spark.sql(VIEWS["sig_snap"], gates=x.gates),
-            "features": places.features_in_radius(x.gates, x.pois.where("poi_type = 'STANDARD'")),
+            "features": places.features_in_radius(x.gates, x.pois),
             "poi": x.spark.sql(VIEWS["sig_poi"], gates=x.gates),
         },
     )

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from octroi.operators.cleaning import NAME_WORDS
 from octroi.sources.standins import Inputs, checker_sql
 
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {}
@@ -71,3 +72,9 @@ def tokens(c: str) -> str:
 
 def norm_name(c: str) -> str:
     return f"trim(regexp_replace(upper(strip_accents({c})), '\\s+', ' ', 'g'))"
+
+
+def flag_cases() -> str:
+    """One CASE for each flag that a gate's name can set."""
+    holds = lambda w: f"contains(strip_accents(lower(canonical_name)), '{w}')"
+    return ", ".join("CASE WHEN " + " OR ".join(map(holds, words)) + f" THEN '{flag}' END" for flag, words in NAME_WORDS.items())

@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters with a mark and their base letters, for accent folding.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-UNACCENTED = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition, without its marks, is one other character, and those letters.
+
+    Third: the Latin ligatures that give several letters.
+    """
+    one, several = {}, {}
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x10000)):
+        c = chr(code)
+        bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+        if len(bare) == 1 and bare != c:
+            one[c] = bare
+        elif len(bare) > 1 and bare.isascii() and bare.isalpha() and "LATIN" in unicodedata.name(c, "") and "LIGATURE" in unicodedata.name(c, ""):
+            several[c] = bare
+    return "".join(one), "".join(one.values()), several
+
+
+FOLDED, BARE, LIGATURES = _folds()
 
 
 def _c(c) -> Column:
@@ -30,29 +48,28 @@ def route_tokens(c) -> Column:
 
 
 def fold_accents(c) -> Column:
-    return F.translate(_c(c), ACCENTED, UNACCENTED)
+    """Letters without marks, compatibility forms as plain characters, no-break blanks as blanks."""
+    out = F.translate(_c(c), FOLDED, BARE)
+    for ligature, letters in LIGATURES.items():
+        out = F.replace(out, F.lit(ligature), F.lit(letters))
+    return F.regexp_replace(out, r"\p{M}", "")
 
 
-def normalise_name(c) -> Column:
-    """Accent-free upper case with single blanks: the key on which names are matched.
+def strip(c) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
-    Precomposed Latin letters go through a character map; combining marks that arrive
-    decomposed are removed by pattern. Both run in the JVM.
-    """
-    bare = F.regexp_replace(fold_accents(c), r"\p{M}", "")
-    return F.trim(F.regexp_replace(F.upper(bare), r"\s+", " "))
+
+def normalise_name(c) -> Column:
+    """Accent-free upper case with single blanks: the key on which names are matched."""
+    return F.trim(F.regexp_replace(F.upper(fold_accents(c)), r"(?U)\s+", " "))
 
 
 def lower_bare(c) -> Column:
-    """Accent-free lower case, outer blanks removed."""
-    return F.trim(F.lower(F.regexp_replace(fold_accents(c), r"\p{M}", "")))
+    """Accent-free lower case, outer white space removed."""
+    return strip(F.lower(fold_accents(c)))
 
 
 def decimal_comma(c) -> Column:
     """`"1 234,50"` -> 1234.5"""
     return F.regexp_replace(F.regexp_replace(_c(c), " ", ""), ",", ".").cast("double")
-
-
-def zero_text(c) -> Column:
-    """A price typed as zero: exactly the spellings the source uses."""
-    return F.trim(_c(c)).isin("0", "0.0")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,14 +16,14 @@ NEAR_KM = 8.0
 NODE_WORD = "bifurcation"
 SNAP_LIMIT_M = 200.0
 
-# Name patterns (lower-case names) and the flag each one sets.
-NAME_PATTERNS = (
-    ("syst[eè]me ouvert|syst[eè]me ferm[eé]|syst[eè]me", "VIRTUAL"),
-    ("limite de concession|fronti[eè]re", "ADMIN_BOUNDARY"),
-    ("bretelle", "BRETELLE"),
-    ("barri[eè]re|barriere", "BARRIERE"),
-    ("p[eé]age en syst", "PEAGE_EN"),
-)
+# Words in accent-free lower-case names, and the flag that each one sets.
+NAME_WORDS = {
+    "VIRTUAL": ("systeme",),
+    "ADMIN_BOUNDARY": ("limite de concession", "frontiere"),
+    "BRETELLE": ("bretelle",),
+    "BARRIERE": ("barriere",),
+    "PEAGE_EN": ("peage en syst",),
+}
 
 
 def fare_endpoints(fares: DataFrame, gates: DataFrame, columns: list[str]) -> DataFrame:
@@ -154,8 +157,10 @@ def snap_suspects(gates: DataFrame, fares: DataFrame, limit_m: float = SNAP_LIMI
 
 
 def name_flags(name):
-    low = F.lower(name)
-    return F.array_compact(F.array(*[F.when(low.rlike(p), F.lit(f)) for p, f in NAME_PATTERNS]))
+    """Flags of the words that a name holds."""
+    low = text.lower_bare(name)
+    held = {flag: reduce(or_, [low.contains(w) for w in words]) for flag, words in NAME_WORDS.items()}
+    return F.array_compact(F.array(*[F.when(found, F.lit(flag)) for flag, found in held.items()]))
 
 
 def confidence_flags(tier, agreement):

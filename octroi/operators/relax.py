@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from octroi.session import cut_lineage, written
 
 FAN_ROWS = 50_000
-BOUND_FROM = 5_000
 TIE_STEP = 1e-6
 
 
@@ -98,11 +97,9 @@ def relax(
     state = cut_lineage(cheapest(start.select(*cols)))
     while True:
         front = state.where("is_new AND fan > 0")
-        improved = front.count()
-        if improved == 0:
+        if front.isEmpty():
             return state.drop("is_new", "fan")
-        # A short frontier costs less to expand than its bound costs to compute.
-        limit = written(bound(state), "bound") if bound is not None and improved > BOUND_FROM else None
+        limit = written(bound(state), "bound") if bound is not None else None
         if limit is not None:
             # Rows dearer than the bound can lead nowhere that matters: they are not expanded.
             front = front.join(limit, keys, "left").where(f"bound IS NULL OR {cost} <= bound")

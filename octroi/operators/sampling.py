@@ -6,38 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from octroi.functions.geo import EARTH_RADIUS_KM, haversine
-from octroi.operators.spatial import near_points
 
 BAND_KM = (350.0, 450.0)
 PAIRS = 25
-WIDEST = 4096
+BLOCK = 100
 
 
 def city_pair_sample(places: DataFrame, size: int = PAIRS, band: tuple[float, float] = BAND_KM) -> DataFrame:
     """`size` unordered pairs inside a distance band, in the order of the two places' digests.
 
-    The order is by the first place, so a few first places decide the sample: they meet all others in
-    one pass over the table. Too few pairs widen the set of first places; at the end a grid join
-    looks at every place, so the answer is always the exact head of the order.
+    The order is by the first place, so first places are taken in blocks of `BLOCK` rows, which meet the
+    table in one pass each, until enough pairs are found or no place is left. Any size goes this way.
     """
     lo, hi = band
+    spark = places.sparkSession
     d = places.select("place_id", "lat", "lon", F.md5(F.col("place_id").cast("string")).alias("h"))
-
-    def side(df, p):
-        return df.select(*[F.col(c).alias(f"{p}_{c}") for c in ("place_id", "lat", "lon", "h")])
-
-    def head(pairs):
-        inside = pairs.where(f"a_place_id < b_place_id AND km BETWEEN {lo} AND {hi}")
-        return inside.orderBy("a_h", "b_h").limit(size).select("a_place_id", "b_place_id", "km")
-
+    side = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in ("place_id", "lat", "lon", "h")])
     km = haversine("a_lat", "a_lon", "b_lat", "b_lon", EARTH_RADIUS_KM)
-    total, k = places.count(), 4 * size
-    while k <= WIDEST:
-        # At most WIDEST rows are broadcast.
-        first = F.broadcast(side(d.orderBy("h").limit(k), "a"))
-        got = head(side(d, "b").join(first, F.col("a_place_id") < F.col("b_place_id")).withColumn("km", km))
-        if k >= total or got.count() == size:
-            return got
-        k *= 8
-    near = near_points(places, places, hi * 1000.0 + 1.0).select("a_lat", "a_lon", "b_lat", "b_lon")
-    return head(near.join(side(d, "a"), ["a_lat", "a_lon"]).join(side(d, "b"), ["b_lat", "b_lon"]).withColumn("km", km))
+    found, last = [], ""
+    while len(found) < size:
+        block = side(d.where(F.col("h") > last).orderBy("h").limit(BLOCK), "a").collect()
+        if not block:
+            break
+        last = block[-1].a_h
+        first = F.broadcast(spark.createDataFrame(block, "a_place_id long, a_lat double, a_lon double, a_h string"))
+        pairs = side(d, "b").join(first, F.col("a_place_id") < F.col("b_place_id")).withColumn("km", km).where(F.col("km").between(lo, hi))
+        found += pairs.orderBy("a_h", "b_h").limit(size - len(found)).select("a_place_id", "b_place_id", "km").collect()
+    return spark.createDataFrame(found, "a_place_id long, b_place_id long, km double")
