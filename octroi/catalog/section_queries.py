@@ -21,7 +21,7 @@ view(
     SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY along) AS pos, CASE WHEN coalesce(along - lag(along) OVER (PARTITION BY route_id ORDER BY along) > 60000, TRUE) THEN 1 ELSE 0 END AS st FROM {kept})""",
 )
 view(
-    "sec",
+    "all_sec",
     """SELECT route_id, CAST(dense_rank() OVER (PARTITION BY route_id ORDER BY sec) - 1 AS BIGINT) AS section_no, CAST(row_number() OVER (PARTITION BY route_id, sec ORDER BY along) - 1 AS BIGINT) AS i, gare_id, along, n
   FROM (SELECT *, count(*) OVER (PARTITION BY route_id, sec) AS n FROM {sec_raw}) WHERE n >= 2""",
 )
@@ -31,10 +31,29 @@ def kept(x):
     return x.stored("kept", lambda: sections.along_route_spacing(on_route(x)))
 
 
-def secs(x):
+view("free_sec", "SELECT DISTINCT route_id, section_no FROM {all_sec} WHERE (route_id + section_no) % 5 <> 0 AND (route_id + section_no) % 3 <> 2")
+view(
+    "sec",
+    "SELECT route_id, CAST(dense_rank() OVER (PARTITION BY route_id ORDER BY section_no) - 1 AS BIGINT) AS section_no, i, gare_id, along, n FROM {all_sec} WHERE (route_id, section_no) NOT IN (SELECT (route_id, section_no) FROM {free_sec})",
+)
+
+
+def all_secs(x):
     return x.stored("sections", lambda: sections.route_sections(kept(x)))
 
 
+def untolled(x):
+    segs = places.route_segments(x.vertices)
+    windows = sections.section_windows(all_secs(x))
+    driven = x.stored("driven_stretch", lambda: sections.driven_stretch(windows, segs))
+    return x.stored("untolled", lambda: sections.untolled_sections(driven, probe_lines(x, windows, segs)).select("route_id", "section_no"))
+
+
+def secs(x):
+    """Sections that are paid for: those beside a free road are dropped before anything is priced."""
+    return x.stored("paid_sections", lambda: sections.drop_untolled(all_secs(x), untolled(x)))
+
+
 @query("along_route_spacing", "SELECT route_id, gare_id, round(along, 0) AS along_m FROM {kept}")
 def _(x):
     return kept(x).select("route_id", "gare_id", r("along_m", 0))
@@ -48,9 +67,9 @@ def _(x):
     return sections.route_legs(kept(x)).select("route_id", "pos", "from_gare_id", "to_gare_id", r("leg_m", 0))
 
 
-@query("route_sections", "SELECT route_id, section_no, i, gare_id, n FROM {sec}")
+@query("route_sections", "SELECT route_id, section_no, i, gare_id, n FROM {all_sec}")
 def _(x):
-    return secs(x).select("route_id", "section_no", "i", "gare_id", "n")
+    return all_secs(x).select("route_id", "section_no", "i", "gare_id", "n")
 
 
 _THIN = "CASE WHEN n <= 6 THEN range(0, n) ELSE list_distinct(list_transform(range(0, 6), lambda k: CAST(round_even(k * (n - 1) / 5.0::DOUBLE, 0) AS BIGINT))) END"
@@ -151,15 +170,9 @@ def probe_lines(x, windows, segs):
     return d.withColumns({"x1": F.col("x1") + shift, "x2": F.col("x2") + shift})
 
 
-@query(
-    "untolled_sections",
-    "SELECT DISTINCT route_id, section_no FROM {sec} WHERE (route_id + section_no) % 5 <> 0 AND (route_id + section_no) % 3 <> 2",
-)
+@query("untolled_sections", "SELECT * FROM {free_sec}")
 def _(x):
-    segs = places.route_segments(x.vertices)
-    windows = sections.section_windows(secs(x))
-    driven = x.stored("driven_stretch", lambda: sections.driven_stretch(windows, segs))
-    return sections.untolled_sections(driven, probe_lines(x, windows, segs)).select("route_id", "section_no")
+    return untolled(x)
 
 
 # --- search -------------------------------------------------------------------------------------

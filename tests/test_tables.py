@@ -70,3 +70,40 @@ def test_flat_fee_rounding(spark):
     c = spark.createDataFrame([("X", "OP", 900001, "G", 44.1, 3.0, 11.30)], "corridor string, operator string, gare_id bigint, canonical_name string, lat double, lon double, class1 double")
     got = {r["vehicle_class"]: (r["flat_fee_eur"], r["is_conjecture"]) for r in sinks.flat_fees(c).collect()}
     assert got == {k: (11.3 if k == 1 else round(11.30 * q, 2), k != 1) for k, q in {1: 1, 2: 1.5466, 3: 2.4801, 4: 3.3333, 5: 0.5849}.items()}
+
+
+def test_matrix_that_lost_a_part_is_refused(spark, tmp_path):
+    points = spark.createDataFrame([(i, i) for i in range(1, 50)], "gare_id bigint, pid bigint")
+    rows = [(i, i + 1, 1.0, 2.0, None, None) for i in range(1, 49)]
+    m = spark.createDataFrame(rows, "from_pid bigint, to_pid bigint, tolled_s double, tolled_m double, free_s double, free_m double")
+    files.write_matrix(m, str(tmp_path / "m"))
+    assert files.load_matrix(spark, str(tmp_path / "m"), points).count() == 48
+    part = next((tmp_path / "m").glob("part-*.parquet"))
+    m.limit(40).select("from_pid", "to_pid", *[F.col(c).cast("float") for c in matrix.CELLS]).coalesce(1).write.parquet(str(tmp_path / "less"))
+    part.write_bytes(next((tmp_path / "less").glob("part-*.parquet")).read_bytes())
+    (tmp_path / "m" / f".{part.name}.crc").unlink()
+    with pytest.raises(ValueError, match="manifest"):
+        files.load_matrix(spark, str(tmp_path / "m"), points)
+
+
+def test_junk_in_a_column_that_nobody_reads_fails(spark, tmp_path):
+    head = "gare_id,canonical_name,operators,match_tier,lat,lon,score,verdict,flags\n"
+    (tmp_path / "v.csv").write_text(head + '1,"A ""B""",OP,A,45.5,junk,3,OK,\n')
+    with pytest.raises(Exception, match="(?i)malformed|junk"):
+        files.read_verdicts(spark, str(tmp_path / "v.csv")).collect()
+    (tmp_path / "w.csv").write_text(head + '1,"A ""B""",OP,A,45.5,4.5,3,"O""K",\n')
+    assert [r.verdict for r in files.read_verdicts(spark, str(tmp_path / "w.csv")).collect()] == ['O"K']
+
+
+def test_new_rows_that_share_a_key_leave_one(spark):
+    old = spark.createDataFrame([(1, "a", 1), (2, "b", 1)], "k int, v string, n int")
+    new = spark.createDataFrame([(2, "x", 5), (2, "y", 3), (3, "z", 1)], "k int, v string, n int")
+    assert sorted(tuple(r) for r in sinks.upserted(old, new, ["k"]).collect()) == [(1, "a", 1), (2, "y", 3), (3, "z", 1)]
+
+
+def test_names_fold_like_compatibility_decomposition(spark):
+    from octroi.functions import text
+
+    df = spark.createDataFrame([("Česká  Œuvre ﬁn ",), ("Łódź é",), ("ŠKODA Ⅳ",), (None,)], "name string")
+    assert [r[0] for r in df.select(text.normalise_name("name")).collect()] == ["CESKA ŒUVRE FIN", "ŁODZ E", "SKODA Ⅳ".replace("Ⅳ", "Ⅳ"), None]
+    assert [r[0] for r in df.select(text.lower_bare("name")).collect()][0] == "ceska  œuvre fin"
