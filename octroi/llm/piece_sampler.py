@@ -131,7 +131,7 @@ class Lattice:
         arc[lone, 0] = BYTES_WEIGHT
         self.id[lone, 0] = -2 - code[lone].astype(np.int32)
         place = np.arange(n) - begin
-        order = np.argsort(place, kind="stable")
+        order = np.argsort(place, kind="stable")  # the first characters of all words, then the second ones, …
         cuts = np.searchsorted(place[order], np.arange(int(size.max(initial=0)) + 1))
         total = np.full(n, -np.inf)
         self.share = np.zeros((n, m), np.float32)
@@ -154,10 +154,10 @@ class Lattice:
         first = np.where(word > 0, self.end[word - 1], 0)
         active, made, count, k = np.arange(len(word)), [], np.zeros(len(word), np.int64), 0
         while len(active):
-            draw = (mix(key[active] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            # 24 bits: below 1 in single precision too, so a piece of some weight is always found
+            draw = (mix(key[active] + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
             p = at[active] - 1
-            size = (self.share[p] <= draw[:, None].astype(np.float32)).sum(1)
-            size = np.minimum(size, (self.id.shape[1] - 1))
+            size = (self.share[p] <= draw[:, None]).sum(1)
             made.append((active, self.id[p, size]))
             count[active] += 1
             at[active] -= size + 1
@@ -235,7 +235,7 @@ def sampled_pieces(docs: DataFrame, path: str, alpha: float = ALPHA, seed: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = sampler(path, alpha, seed)
-        for rows, data, at in steps(batches):
+        for rows, data, at in steps(batches, size=1 << 20):
             raw = data.tobytes()
             texts = [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
             found, count = code.encode(rows.column(0).to_pylist(), [t.decode() for t in texts])

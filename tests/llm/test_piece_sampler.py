@@ -68,3 +68,9 @@ def test_rows(spark):
     assert sorted((repr(r.doc_id), r.n_bytes, r.decoded_sha256) for r in got) == sorted((repr(d), len((t or "").encode()), hashlib.sha256((t or "").encode()).hexdigest()) for d, t in rows)
     assert all(len(r.ids) == r.n_pieces for r in got) and len({tuple(r.ids) for r in got if r.doc_id == 1}) == 1
     assert ps.sampled_pieces(docs.limit(0), PATH).count() == 0
+
+
+def test_the_largest_draw_still_finds_a_piece(sampler, monkeypatch):
+    monkeypatch.setattr(ps, "mix", lambda h: np.full_like(h, np.iinfo(np.uint64).max))
+    ids, n = sampler.encode([1], ["every word is drawn ☃"])
+    assert sampler.decode(ids, n) == ["every word is drawn ☃".encode()]
