@@ -8,7 +8,8 @@ for `CALIBRATION` queries the true neighbours are found by brute force over all
 widened until the share of them in visited leaves reaches `RECALL`.
 
 Queries and vectors meet per leaf in tiles of at most about `TILE` by `TILE`, so neither a crowded leaf nor a
-leaf that very many queries visit is gathered in one task. Equal vectors are indexed once, with the least
+leaf that very many queries visit is gathered in one task. The first leaves give each query a score that its
+k-th neighbour reaches at least, and the other leaves return only what comes up to it. Equal vectors are indexed once, with the least
 ids that any answer can need.
 
 Cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do
@@ -33,7 +34,9 @@ from octroi.session import written
 
 #: Vectors that the tree is fitted on; children of a node; vectors of a leaf, in the whole table and at least in the sample.
 SAMPLE, BRANCH, LEAF, LEAF_SAMPLE = 40_000, 8, 800, 12
-CALIBRATION, RECALL, TILE = 200, 0.96, 2_000
+CALIBRATION, RECALL, TILE = 200, 0.95, 2_000
+#: Leaves that a query visits first; what it finds there is the least score that the others must reach.
+FIRST = 2
 
 
 class Tree:
@@ -45,7 +48,7 @@ class Tree:
         self.leaves, todo = 0, [(0, np.arange(len(x)))]
         while todo:
             node, rows = todo.pop()
-            parts = self.split(x[rows], r) if len(rows) > max(leaf_size, BRANCH) else None
+            parts = self.split(x[rows], min(BRANCH, int(np.ceil(len(rows) / leaf_size))), r) if len(rows) > max(leaf_size, BRANCH) else None
             if parts is None:
                 self.leaf[node] = self.leaves
                 self.leaves += 1
@@ -58,8 +61,8 @@ class Tree:
         self.centre = np.array(centres)
 
     @staticmethod
-    def split(x: np.ndarray, r: np.random.Generator) -> tuple[np.ndarray, np.ndarray] | None:
-        centre = x[r.choice(len(x), BRANCH, replace=False)]
+    def split(x: np.ndarray, k: int, r: np.random.Generator) -> tuple[np.ndarray, np.ndarray] | None:
+        centre = x[r.choice(len(x), k, replace=False)]
         for _ in range(8):
             of = nearest(x, centre)
             used = np.unique(of)
@@ -210,25 +213,24 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = REC
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, leaf = [], []
+            row, leaf, turn = [], [], []
             for i, q in enumerate(matrix(b.column(1).to_pylist(), width)):
                 seen = 0
                 for n, at in enumerate(tree.best_first(np.r_[q, 0.0])):
                     if n >= visits and seen > k:
                         break
                     seen += held.get(at, (0, 0))[1]
-                    row.append(i), leaf.append(at)
+                    row.append(i), leaf.append(at), turn.append(n)
             pick = pa.array(row, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(leaf, pa.int32())], names=["query_id", "q", "leaf"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(leaf, pa.int32()), pa.array(turn, pa.int32())], names=["query_id", "q", "leaf", "turn"])
 
-    routed = written(asked.mapInArrow(route, "query_id long, q binary, leaf int"), "routed")
+    routed = written(asked.mapInArrow(route, "query_id long, q binary, leaf int, turn int"), "routed")
     visitors = {r.leaf: r.n for r in routed.groupBy("leaf").agg(F.count("*").alias("n")).collect()}
     cuts = [(leaf, -(-rows // TILE), -(-visitors.get(leaf, 1) // TILE)) for leaf, (rows, _) in held.items()]
     tiles = F.broadcast(spark.createDataFrame(cuts, "leaf int, tiles int, deals int"))  # a row for each leaf, at most SAMPLE / LEAF_SAMPLE
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     place = lambda c, salt, n: F.pmod(F.xxhash64(c, F.lit(salt)), F.col(n)).cast("int")
     left = indexed.join(tiles, "leaf").select("leaf", place("v", 3, "tiles").alias("tile"), numbers("deals").alias("deal"), "v", "first", "ids")
-    right = routed.join(tiles, "leaf").select("leaf", numbers("tiles").alias("tile"), place("query_id", 4, "deals").alias("deal"), "query_id", "q")
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -236,8 +238,17 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = REC
         scores = matrix(b["q"], width) @ matrix(a["v"], width).T
         first, ids = a["first"].to_numpy(), a["ids"].to_numpy()
         at = [best(s, first, k + 1) for s in scores]
+        at = [x[s[x] >= f] for x, s, f in zip(at, scores, b["floor"].to_numpy(), strict=True)]
         return pd.DataFrame({"query_id": np.repeat(b["query_id"].to_numpy(), [len(x) for x in at]), "ids": ids[np.concatenate(at)], "score": np.concatenate([s[x] for s, x in zip(scores, at, strict=True)])})
 
-    by = ["leaf", "tile", "deal"]
-    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(score, "query_id long, ids array<long>, score double")
-    return true_neighbours(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    def met(visits: DataFrame) -> DataFrame:
+        """The best distinct vectors that each visit finds: query_id, ids, score."""
+        right = visits.join(tiles, "leaf").select("leaf", numbers("tiles").alias("tile"), place("query_id", 4, "deals").alias("deal"), "query_id", "q", "floor")
+        by = ["leaf", "tile", "deal"]
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(score, "query_id long, ids array<long>, score double")
+
+    lowest = F.lit(float("-inf"))
+    early = written(met(routed.where(F.col("turn") < FIRST).withColumn("floor", lowest)), "first-finds")
+    floors = true_neighbours(early, k).where(F.col("rank") == k).select("query_id", (F.col("score") - F.abs("score") * 1e-9).alias("found"))
+    rest = routed.where(F.col("turn") >= FIRST).join(floors, "query_id", "left").withColumn("floor", F.coalesce("found", lowest))
+    return true_neighbours(early.union(met(rest)), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
