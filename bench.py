@@ -29,7 +29,7 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     only = os.environ.get("BENCH_ONLY")
-    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus), memory=os.environ.get("BENCH_MEMORY", "16g"))
+    spark = build_session(f"local[{cpus}]", shuffle_partitions=int(cpus), memory=os.environ.get("BENCH_MEMORY", "10g"))
     spark.sparkContext.setLogLevel("ERROR")
     start = time.time()
     x = Inputs(spark, folder)

@@ -79,8 +79,8 @@ view(
     f"""SELECT {_KEY}, gare_id * 2 AS node, min(struct_pack(cost := (k_toll * 0.0 + k_m * (distance_m + 500)) + k_s * (duration_s + 180), toll := 0.0::DOUBLE, m := distance_m + 500, s := duration_s + 180, h := 0, p := [gare_id * 8 + 5])) AS v
   FROM {{srch}} JOIN {{acc}} ON hub_id = origin_id AND direction = 'entry' GROUP BY ALL""",
 )
-_SEARCH_ROUNDS = 16
-_TIE = "(1e-6::DOUBLE + ((to_node * 7919 + step % 8 * 104729) % 10007) / 10007.0::DOUBLE * 1e-6::DOUBLE)"
+_SEARCH_ROUNDS = 32
+_TIE = "(1e-6::DOUBLE + ((to_node * 7919 + to_node % 10007 * (m.node % 10007) * 31 + step % 8 * 104729) % 10007) / 10007.0::DOUBLE * 1e-6::DOUBLE)"
 for _i in range(1, _SEARCH_ROUNDS + 1):
     view(
         f"st_{_i}",

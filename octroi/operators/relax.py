@@ -19,12 +19,14 @@ FAN_ROWS = 50_000
 TIE_STEP = 1e-6
 
 
-def tie_step(to_node, kind) -> Column:
+def tie_step(to_node, kind, node=None) -> Column:
     """A tiny positive cost per move: fewer moves win a tie, and equal chains get a fixed order.
 
     Far below a cent or a second, far above rounding noise; it also makes free cycles strictly worse.
+    With the node that a move leaves, the same nodes in another order differ too.
     """
-    mix = F.pmod(to_node * 7919 + kind * 104729, F.lit(10007)) / F.lit(10007.0)
+    node = F.lit(0) if node is None else node
+    mix = F.pmod(to_node * 7919 + to_node % 10007 * (node % 10007) * 31 + kind * 104729, F.lit(10007)) / F.lit(10007.0)
     return F.lit(TIE_STEP) + mix * F.lit(TIE_STEP)
 
 

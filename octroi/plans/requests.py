@@ -108,7 +108,7 @@ def route_table(groups: DataFrame, classes: DataFrame, legs: DataFrame, moves: D
         )
 
     increments = {
-        "cost": weighted(toll, F.col("e_m"), F.col("e_s")) + tie_step(F.col("to_node"), F.col("kind")),
+        "cost": weighted(toll, F.col("e_m"), F.col("e_s")) + tie_step(F.col("to_node"), F.col("kind"), F.col("node")),
         "toll": toll, "distance_m": F.col("e_m"), "duration_s": F.col("e_s"),
     }
     state = relax(seeds, moves, SEARCH, increments, context=weights, usable=toll.isNotNull(), bound=bound)

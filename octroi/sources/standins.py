@@ -42,10 +42,14 @@ SELECT CAST(s_suppkey AS BIGINT) + 1 AS gare_id,
 FROM {supplier}
 """
 
+# Every line gives a pair. Every 50th gate is a sink only, so its lines start at the gate before it; pairs whose
+# ids add up to a multiple of four are sold one way only, towards the greater id.
 FARE_KEYS = """
-SELECT DISTINCT CAST(l_suppkey AS BIGINT) + 1 AS f,
-  l_partkey % (SELECT count(*) FROM {supplier}) + 1 AS t
-FROM {lineitem} WHERE (l_suppkey * 7 + l_partkey * 3) % 4 <> 0 AND l_suppkey % 50 <> 49
+SELECT DISTINCT CASE WHEN one_way THEN least(f, t) ELSE f END AS f, CASE WHEN one_way THEN greatest(f, t) ELSE t END AS t
+FROM (SELECT f, t, (f + t) % 4 = 0 AND t % 50 <> 0 AS one_way FROM (
+  SELECT CAST(l_suppkey AS BIGINT) + CASE WHEN l_suppkey % 50 = 49 THEN 0 ELSE 1 END AS f,
+    CAST(l_partkey % (SELECT count(*) FROM {supplier}) + 1 AS BIGINT) AS t
+  FROM {lineitem}))
 """
 
 BASE_FARES = """
