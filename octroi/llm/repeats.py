@@ -194,7 +194,11 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     of_mixed = again.where("mixed")
     place = F.struct("doc_id", "print", "lo", "shape")
     classes = written(of_mixed.groupBy("key", "span").agg(F.count("*").alias("n"), F.min(place).alias("place")), "classes")
-    same = of_mixed.join(classes.where("n > 1").select("key", "span"), ["key", "span"])
+    # An anchor of a mixed first rank repeats unless it is its class's only one; such anchors are told apart by
+    # their places, not by a join on ranks, which would make a common string's rank a hot key.
+    alone = classes.where("n = 1").select("place.*", F.lit(1).alias("alone"))
+    marked = of_mixed.select("doc_id", "print", "lo", "shape", F.lit(0).alias("alone")).union(alone)
+    same = marked.groupBy("doc_id", "print", "lo", "shape").agg(F.max("alone").alias("alone")).where("alone = 0")
     window = lambda df: df.select("doc_id", "print", "lo", (F.col("lo") + F.col("shape").bitwiseAND(255)).alias("hi"))
     found = window(again.where("not mixed")).union(window(same))
     refs = classes.select("place.doc_id", "place.print", F.struct("place.lo", "place.shape", (F.col("n") > 1).cast("int").alias("known")).alias("ref"))
