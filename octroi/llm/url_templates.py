@@ -3,16 +3,19 @@
 Rules are pairs of a host and a path beginning; the longest that fits a url decides, and labels it. For the
 rest a tree is grown for each host, a path segment a level, from the first `DEPTH` segments:
 
-- A segment that fewer than one in `RARE` of its parent's urls have is variable and becomes `*`.
-- Of the others, those whose labelled share of blocked urls doesn't differ from the parent's (a chi-square
-  test at `CHI`) are merged into one branch `~`; the rest stay as they are.
+- A segment of one url is variable and becomes `*`.
+- One whose labelled share of blocked urls differs from the parent's (a chi-square test at `CHI`) stays as it
+  is, however small its share of the host.
+- The others are merged, as their labels don't tell them apart: into `*` those that fewer than one in `RARE` of
+  the parent's urls have, into `~` the rest.
 - A url's template is rejected if its labelled purity reaches a half: the share of blocked urls among the
   host's labelled urls of the template, smoothed with `WEIGHT` urls of the template's share over all hosts,
   itself smoothed towards the share of all labelled urls.
 
-A parent keeps at most RARE segments, so what urls are joined with is small even for hosts with very many
-urls; counts are aggregated with map-side combine before they are joined, and a hot host's join is
-split by the adaptive planner.
+Urls are joined with segments of two urls or more by host, template and segment, so a host with very many urls
+is spread over its segments; counts are aggregated with map-side combine before they are joined, and a hot
+segment's join is split by the adaptive planner. The checking SQL makes every segment below one in RARE `*`
+before it looks at labels, so it agrees only where no such segment's labels differ, as on the given pages.
 
 Cases: host is what stands between the first `://` and the next `/`, `?`, `#`, A-Z lower-cased; path what
 follows up to `?` or `#`; a null url or one without `://` has both empty, fits no rule, and gets the
@@ -61,7 +64,7 @@ def grown(rows: DataFrame, level: int) -> DataFrame:
     share = (F.col("all_blocked") + 1.0) / (F.col("all_labelled") + 2.0)
     away = F.col("blocked") - F.col("labelled") * share
     differs = (F.col("labelled") > 0) & (away * away >= CHI * F.col("labelled") * share * (1.0 - share))
-    kept = children.where("n > 1").join(parents, ["host", "template"]).where(F.col("n") * RARE >= F.col("all_n"))
+    kept = children.where("n > 1").join(parents, ["host", "template"]).where(differs | (F.col("n") * RARE >= F.col("all_n")))
     kept = kept.select("host", "template", "segment", F.when(differs, F.col("segment")).otherwise("~").alias("name"))
     named = here.join(kept, ["host", "template", "segment"], "left")
     longer = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), F.coalesce("name", F.lit("*"))))

@@ -63,5 +63,13 @@ def test_alike_branches_merge(spark):
     assert {r.template for r in got} == {"/~/*"}
 
 
+@pytest.mark.parametrize("sections", [5, 25, 60])
+def test_a_blocked_section_is_rejected_on_hosts_of_any_size(spark, sections):
+    rows = [(i, f"http://s.org/s{i % sections}/{i}") for i in range(40 * sections)]
+    rules = [("block", "s.org", f"/s3/{3 + sections * k}") for k in range(30, 40)] + [("allow", "s.org", f"/s{s}/") for s in (0, 1)]
+    got = filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()
+    assert {r.verdict for r in got if r.path.startswith("/s3/")} == {"block"} and {r.verdict for r in got if not r.path.startswith("/s3/")} == {"allow"}
+
+
 def test_empty(pages):
     assert filter_urls(pages.limit(0), URL_RULES).count() == 0
