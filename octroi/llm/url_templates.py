@@ -1,13 +1,15 @@
 """URL filter: rules first, then the verdict of a tree of path templates. DataFrame operations only.
 
 Rules are pairs of a host and a path beginning; the longest that fits a url decides, and labels it. For the
-rest a tree is grown for each host, a path segment a level, from the first `DEPTH` segments:
+rest a tree is grown for each host, a path segment a level, to the last segment:
 
 - A segment of one url is variable and becomes `*`.
 - One whose labelled share of blocked urls differs from the parent's (a chi-square test at `CHI`) stays as it
   is, however small its share of the host.
 - The others are merged, as their labels don't tell them apart: into `*` those that fewer than one in `RARE` of
   the parent's urls have, into `~` the rest.
+- After `DEPTH` segments a branch is grown while its labels disagree, level by level. Once they are all blocked,
+  all allowed or none, no segment below could differ, and all below is one `/...`.
 - A url's template is rejected if its labelled purity reaches a half: the share of blocked urls among the
   host's labelled urls of the template, smoothed with `WEIGHT` urls of the template's share over all hosts,
   itself smoothed towards the share of all labelled urls.
@@ -15,7 +17,8 @@ rest a tree is grown for each host, a path segment a level, from the first `DEPT
 Urls are joined with segments of two urls or more by host, template and segment, so a host with very many urls
 is spread over its segments; counts are aggregated with map-side combine before they are joined, and a hot
 segment's join is split by the adaptive planner. The checking SQL makes every segment below one in RARE `*`
-before it looks at labels, so it agrees only where no such segment's labels differ, as on the given pages.
+before it looks at labels, and all after DEPTH segments `/...`, so it agrees only where no such segment's labels
+differ and no longer branch's labels disagree, as on the given pages.
 
 Cases: host is what stands between the first `://` and the next `/`, `?`, `#`, A-Z lower-cased; path what
 follows up to `?` or `#`; a null url or one without `://` has both empty, fits no rule, and gets the
@@ -71,6 +74,15 @@ def grown(rows: DataFrame, level: int) -> DataFrame:
     return named.select("page_id", "host", "path", "rule", "label", "parts", longer.alias("template"))
 
 
+def deepened(rows: DataFrame, level: int) -> DataFrame:
+    """`rows`, which all have a segment at `level`, one segment longer where labels disagree, else ended by `...`; open: there is more."""
+    labels = rows.where("label is not null").groupBy("host", "template").agg(F.count("*").alias("labelled"), F.sum("label").alias("blocked"))
+    mixed = labels.where("blocked > 0 and blocked < labelled").select("host", "template", F.lit(True).alias("mixed"))
+    marked = rows.join(mixed, ["host", "template"], "left")
+    ended = marked.where("mixed is null").select(*rows.columns[:-1], F.concat("template", F.lit("/...")).alias("template"), F.lit(False).alias("open"))
+    return grown(marked.where("mixed"), level).withColumn("open", F.size("parts") > level + 1).union(ended)
+
+
 def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFrame:
     """page_id, host, path, rule, verdict, template of each row of `pages` (page_id, url)."""
     rule, verdict = first_rule(rules)
@@ -78,7 +90,13 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]]) -> DataFram
     rows = rows.withColumns({"parts": F.split("path", "/"), "template": F.lit("")})
     for level in range(1, DEPTH + 1):
         rows = written(grown(rows, level), f"templates-{level}")
-    rows = rows.withColumn("template", F.when(F.size("parts") > DEPTH + 1, F.concat("template", F.lit("/..."))).otherwise(F.col("template")))
+    rows, level = rows.withColumn("open", F.size("parts") > DEPTH + 1), DEPTH
+    closed, more = rows.where("not open").drop("open"), rows.where("open").drop("open")
+    while not more.isEmpty():
+        level += 1
+        rows = written(deepened(more, level), f"templates-{level}")
+        closed, more = closed.union(rows.where("not open").drop("open")), rows.where("open").drop("open")
+    rows = closed
     counts = rows.where("label is not null").groupBy("host", "template").agg(F.count("*").alias("n"), F.sum("label").alias("k"))
     counts = written(counts, "template-counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()

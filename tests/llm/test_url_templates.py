@@ -71,5 +71,16 @@ def test_a_blocked_section_is_rejected_on_hosts_of_any_size(spark, sections):
     assert {r.verdict for r in got if r.path.startswith("/s3/")} == {"block"} and {r.verdict for r in got if not r.path.startswith("/s3/")} == {"allow"}
 
 
+def test_branches_part_at_any_depth(spark):
+    paths = {"ads": "/en/a/b/ads", "doc": "/en/a/b/doc", "far ads": "/en/q/b/c/d/e/ads", "far doc": "/en/q/b/c/d/e/doc", "long ads": "/en/z/b/c/x", "doc ended": "/en/z/b"}
+    kinds = list(paths)
+    rows = [(100 * k + i, f"http://s.org{paths[kind]}/{i}") for k, kind in enumerate(kinds) for i in range(40)]
+    rules = [("block" if "ads" in kind else "allow", "s.org", f"{paths[kind]}/{d}") for kind in kinds for d in (1, 2)]
+    got = filter_urls(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()
+    assert sorted(r.page_id for r in got) == [r[0] for r in rows]
+    for k, kind in enumerate(kinds):
+        assert {r.verdict for r in got if r.page_id // 100 == k} == {"block" if "ads" in kind else "allow"}, kind
+
+
 def test_empty(pages):
     assert filter_urls(pages.limit(0), URL_RULES).count() == 0
