@@ -20,6 +20,8 @@ groups; they are counted by aggregates with map-side combine and joined back (a
 planner splits), and step 3 collapses equal blocks before its shuffle, so only different surroundings of
 one common string, at about a hundred bytes each, meet in a task.
 
+A row is told apart by doc_id and 128 bits of its text, as many rows may share an id or have none.
+
 Texts are bytes (UTF-8); matches never cross texts. Cases: null and empty texts keep no bytes; texts
 shorter than LENGTH stay; rows that repeat a text remove it from all of them; a null doc_id is a document
 like any other. An empty table gives no rows. Extra columns are ignored.
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from octroi.llm.common import mix, prefix_hash, ranges, release, small_batches, span_hash, steps
@@ -75,37 +77,42 @@ def anchors_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[lo], name[a], span, lo, a - lo, hi - lo
 
 
+def prints(text: Column) -> list[Column]:
+    """128 bits that stand for a text: two 64-bit hashes, the second seeded with a prefix's."""
+    return [F.xxhash64(text).alias("print"), F.xxhash64(F.lit("print"), text).alias("print2")]
+
+
 def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash(text).alias("print"), text.alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *prints(text), text.alias("text"), *(F.col(c).alias(f"carried_{c}") for c in carry))
 
 
 def anchors(docs: DataFrame) -> DataFrame:
-    """doc_id, print, key, span, lo, shape of every anchor; shape packs the anchor's and the last window's distance from lo."""
+    """doc_id, print, print2, key, span, lo, shape of every anchor; shape packs the anchor's and the last window's distance from lo."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in steps(batches):
             row, key, span, lo, gap, width = anchors_of(data, at)
             pick = pa.array(row)
-            yield pa.RecordBatch.from_arrays([rows.column(0).take(pick), rows.column(1).take(pick), pa.array(key.astype(np.uint64).view(np.int64)), pa.array(span.astype(np.uint64).view(np.int64)), pa.array((lo - at[row]).astype(np.int32)), pa.array((gap * 256 + width).astype(np.int32))], names=["doc_id", "print", "key", "span", "lo", "shape"])
+            yield pa.RecordBatch.from_arrays([rows.column(0).take(pick), rows.column(1).take(pick), rows.column(2).take(pick), pa.array(key.astype(np.uint64).view(np.int64)), pa.array(span.astype(np.uint64).view(np.int64)), pa.array((lo - at[row]).astype(np.int32)), pa.array((gap * 256 + width).astype(np.int32))], names=["doc_id", "print", "print2", "key", "span", "lo", "shape"])
 
     long = docs.where(F.octet_length("text") >= LENGTH)
-    return long.mapInArrow(find, "doc_id long, print int, key long, span long, lo int, shape int")
+    return long.mapInArrow(find, "doc_id long, print long, print2 long, key long, span long, lo int, shape int")
 
 
-BLOCKS = "kind int, doc_id long, print int, core long, side binary, first int, last int, at int, known int"
+BLOCKS = "kind int, doc_id long, print long, print2 long, core long, side binary, first int, last int, at int, known int"
 
 
 def blocks(refs: DataFrame) -> DataFrame:
-    """Blocks of windows of the anchors in `refs` (doc_id, print, text, refs: lo, shape, known).
+    """Blocks of windows of the anchors in `refs` (doc_id, print, print2, text, refs: lo, shape, known).
 
     kind 1 goes on to be compared; kind 0 are blocks found repeated already, as an equal one is in the same step.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in steps(batches):
-            lists = rows.column(3)
+            lists = rows.column(4)
             each = lists.flatten()
             row = np.repeat(np.arange(rows.num_rows), np.diff(lists.offsets.to_numpy()))
             lo, shape, known = (each.field(k).to_numpy() for k in range(3))
@@ -133,12 +140,12 @@ def blocks(refs: DataFrame) -> DataFrame:
                 i = np.flatnonzero(keep)
                 pick = pa.array(row[r[i]])
                 cast = lambda v: pa.array(v[i].astype(np.int32))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), tag, np.int32)), rows.column(0).take(pick), rows.column(1).take(pick), pa.array(core[i].view(np.int64)), pa.array(list(map(bytes, side[i])), pa.binary()), cast(j1), cast(j2), cast(c0 - at[row[r]]), cast(state)], names=[x.split()[0] for x in BLOCKS.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), tag, np.int32)), rows.column(0).take(pick), rows.column(1).take(pick), rows.column(2).take(pick), pa.array(core[i].view(np.int64)), pa.array(list(map(bytes, side[i])), pa.binary()), cast(j1), cast(j2), cast(c0 - at[row[r]]), cast(state)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
     return refs.mapInArrow(cut, BLOCKS)
 
 
-FOUND = "doc_id long, print int, lo int, hi int"
+FOUND = "doc_id long, print long, print2 long, lo int, hi int"
 
 
 def compare_blocks(rows: DataFrame) -> DataFrame:
@@ -163,7 +170,7 @@ def compare_blocks(rows: DataFrame) -> DataFrame:
         r, j = np.nonzero(edge == 1)
         _, stop = np.nonzero(edge == -1)
         pick = pa.array(r)
-        yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks().take(pick), t.column("print").combine_chunks().take(pick), pa.array((at[r] - stop + 1).astype(np.int32)), pa.array((at[r] - j).astype(np.int32))], names=["doc_id", "print", "lo", "hi"])
+        yield pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks().take(pick), t.column("print").combine_chunks().take(pick), t.column("print2").combine_chunks().take(pick), pa.array((at[r] - stop + 1).astype(np.int32)), pa.array((at[r] - j).astype(np.int32))], names=["doc_id", "print", "print2", "lo", "hi"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -172,7 +179,7 @@ def compare_blocks(rows: DataFrame) -> DataFrame:
             if not len(core):
                 continue
             cut = int(np.searchsorted(core, core[-1]))
-            if cut or held and held[-1].column(3)[-1].as_py() != core[0]:
+            if cut or held and held[-1].column("core")[-1].as_py() != core[0]:
                 yield from judge(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                 held = []
             held.append(batch.slice(cut))
@@ -182,8 +189,18 @@ def compare_blocks(rows: DataFrame) -> DataFrame:
     return rows.repartition("core").sortWithinPartitions("core").mapInArrow(walk, FOUND)
 
 
+def same_text(x: DataFrame, y: DataFrame) -> Column:
+    return (x["print"] == y["print"]) & (x["print2"] == y["print2"]) & x["doc_id"].eqNullSafe(y["doc_id"])
+
+
+def windows_of_texts(windows: DataFrame) -> DataFrame:
+    """doc_id, print, print2, windows: the runs within one text, each once however many rows repeat the text."""
+    once = windows.select("doc_id", "print", "print2", "lo", "hi").distinct()
+    return once.groupBy("doc_id", "print", "print2").agg(F.collect_list(F.struct("lo", "hi")).alias("windows"))
+
+
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """Window starts lo … hi of `docs` (doc_id, print, text) whose LENGTH bytes start anywhere else too."""
+    """Window starts lo … hi of `docs` (doc_id, print, print2, text) whose LENGTH bytes start anywhere else too."""
     spark = docs.sparkSession
     places = anchors(docs)
     keys = places.groupBy("key").agg(F.count("*").alias("n"), F.min("span").alias("l"), F.max("span").alias("h")).where("n > 1").select("key", (F.col("l") != F.col("h")).alias("mixed"))
@@ -192,22 +209,21 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     again = written(places.join(keys, "key"), "anchors")
     release(spark)
     of_mixed = again.where("mixed")
-    place = F.struct("doc_id", "print", "lo", "shape")
+    place = F.struct("doc_id", "print", "print2", "lo", "shape")
     classes = written(of_mixed.groupBy("key", "span").agg(F.count("*").alias("n"), F.min(place).alias("place")), "classes")
     # An anchor of a mixed first rank repeats unless it is its class's only one; such anchors are told apart by
     # their places, not by a join on ranks, which would make a common string's rank a hot key.
     alone = classes.where("n = 1").select("place.*", F.lit(1).alias("alone"))
-    marked = of_mixed.select("doc_id", "print", "lo", "shape", F.lit(0).alias("alone")).union(alone)
-    same = marked.groupBy("doc_id", "print", "lo", "shape").agg(F.max("alone").alias("alone")).where("alone = 0")
-    window = lambda df: df.select("doc_id", "print", "lo", (F.col("lo") + F.col("shape").bitwiseAND(255)).alias("hi"))
+    marked = of_mixed.select("doc_id", "print", "print2", "lo", "shape", F.lit(0).alias("alone")).union(alone)
+    same = marked.groupBy("doc_id", "print", "print2", "lo", "shape").agg(F.max("alone").alias("alone")).where("alone = 0")
+    window = lambda df: df.select("doc_id", "print", "print2", "lo", (F.col("lo") + F.col("shape").bitwiseAND(255)).alias("hi"))
     found = window(again.where("not mixed")).union(window(same))
-    refs = classes.select("place.doc_id", "place.print", F.struct("place.lo", "place.shape", (F.col("n") > 1).cast("int").alias("known")).alias("ref"))
-    of_doc = refs.groupBy("doc_id", "print").agg(F.collect_list("ref").alias("refs"))  # anchors of one text
-    on = lambda x, y: (x["print"] == y["print"]) & x["doc_id"].eqNullSafe(y["doc_id"])
-    joined = docs.join(of_doc, on(docs, of_doc)).select(docs["doc_id"], docs["print"], "text", "refs")
+    refs = classes.select("place.doc_id", "place.print", "place.print2", F.struct("place.lo", "place.shape", (F.col("n") > 1).cast("int").alias("known")).alias("ref"))
+    of_doc = refs.groupBy("doc_id", "print", "print2").agg(F.collect_list("ref").alias("refs"))  # anchors of one text
+    joined = docs.join(of_doc, same_text(docs, of_doc)).select(docs["doc_id"], docs["print"], docs["print2"], "text", "refs")
     cut = written(blocks(joined), "blocks")
     release(spark)
-    whole = cut.where("kind = 0").select("doc_id", "print", (F.col("at") - F.col("last")).alias("lo"), (F.col("at") - F.col("first")).alias("hi"))
+    whole = cut.where("kind = 0").select("doc_id", "print", "print2", (F.col("at") - F.col("last")).alias("lo"), (F.col("at") - F.col("first")).alias("hi"))
     rest = compare_blocks(cut.where("kind = 1"))
     return found.union(whole).union(rest)
 
@@ -222,10 +238,10 @@ def remove_repeats(docs: DataFrame, texts: bool = False, carry: tuple[str, ...]
     columns of `docs` to keep.
     """
     rows = keyed(docs, carry)
-    windows = written(repeated_windows(rows.select("doc_id", "print", "text")), "windows")
+    windows = written(repeated_windows(rows.select("doc_id", "print", "print2", "text")), "windows")
     release(docs.sparkSession)
-    of_doc = windows.groupBy("doc_id", "print").agg(F.collect_list(F.struct("lo", "hi")).alias("windows"))  # runs within one text
-    joined = rows.join(of_doc, (rows["print"] == of_doc["print"]) & rows["doc_id"].eqNullSafe(of_doc["doc_id"]), "left").select(rows["doc_id"], "text", "windows", *(F.col(f"carried_{c}").alias(c) for c in carry))
+    of_doc = windows_of_texts(windows)
+    joined = rows.join(of_doc, same_text(rows, of_doc), "left").select(rows["doc_id"], "text", "windows", *(F.col(f"carried_{c}").alias(c) for c in carry))
     kinds = dict(docs.dtypes)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

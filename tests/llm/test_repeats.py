@@ -68,6 +68,28 @@ def test_kept_text_is_what_is_left(spark, rows):
         assert len(r.text.encode()) <= r.n_bytes - r.n_removed
 
 
+def test_texts_of_equal_32_bit_hash_are_told_apart(spark):
+    long = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(300))
+    short = "".join(chr(97 + (i**3 * 5 + i // 7) % 26) for i in range(40))
+    rows = [(None, f"a94295 {long} and {long}"), (None, f"b18354 {short}"), (5, f"a110744 {long} and {long}"), (5, f"b59080 {short}")]
+    assert frame(spark, rows).selectExpr("hash(text) AS h").distinct().count() == 2
+    assert sorted((tuple(r) for r in rp.remove_repeats(frame(spark, rows).coalesce(1)).collect()), key=repr) == brute(rows)
+
+
+def test_rows_that_repeat_a_text_and_id_hold_each_window_once(spark, monkeypatch):
+    r = random.Random(3)
+    a, b, c = ("".join(r.choice("abcdefgh ") for _ in range(n)) for n in (500, 300, 400))
+    some = [(7, a)] * 30 + [(None, b)] * 30 + [(8, a[:250] + c), (9, c)]
+    docs = frame(spark, some)
+    kind, seen = type(docs), []
+    real = kind.mapInArrow
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, *a, **k: (seen.append(self), real(self, *a, **k))[1])
+    out = rp.remove_repeats(docs)
+    (held,) = (d for d in seen if "windows" in d.columns)
+    assert held.where("size(windows) > size(array_distinct(windows))").count() == 0 and held.where("size(windows) > 0").count() == len(some)
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == brute(some)
+
+
 def test_empty_table(spark, rows):
     assert rp.remove_repeats(frame(spark, rows[:3]).limit(0)).count() == 0
 
