@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -31,6 +32,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system; workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Concatenated UTF-8 bytes of a string column and n + 1 offsets; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -59,6 +68,25 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = STE
             i = j
 
 
+def by_key(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.Table]:
+    """The rows of each value of a whole-number column that the rows are sorted by, one table a value."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = batch.column(column).to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            if i == j:
+                continue
+            if held and keys[i] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = keys[i]
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """64-bit finaliser: every input bit reaches every output bit. Works on a copy."""
     h = h ^ (h >> np.uint64(30))

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+from octroi.llm import ngram_join, source_divergence, spelling_variants
 from octroi.llm.byte_cnn import quality
 from octroi.llm.common import table
 from octroi.llm.kmeans_tree import search
@@ -124,6 +125,21 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampled_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op11_ngram_join", ngram_join.checking_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
+@query("op12_spelling_variants", spelling_variants.checking_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_source_divergence", source_divergence.checking_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
