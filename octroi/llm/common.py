@@ -13,7 +13,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one step of a Python task works on; a single longer text makes a larger step.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,7 +58,10 @@ def byte_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def steps(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cuts record batches into steps of about `size` bytes of text: the rows, their bytes, their offsets."""
+    """Cuts record batches into steps of about `size` bytes of text: the rows, their bytes, their offsets.
+
+    What a step has freed goes back to the system after each batch.
+    """
     for batch in batches:
         data, at = byte_column(batch.column(batch.schema.get_field_index(text)))
         i, n = 0, batch.num_rows
@@ -66,6 +69,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = STE
             j = max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1)
             yield batch.slice(i, j - i), data[at[i] : at[j]], at[i : j + 1] - at[i]
             i = j
+        give_back()
 
 
 def by_key(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[pa.Table]:

@@ -70,8 +70,8 @@ def shingles(data: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> list[np.n
 def minhash(values: np.ndarray) -> np.ndarray:
     """SAMPLES values, each the least of the set under another mapping; long sets in pieces."""
     out = np.full(SAMPLES, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(values), 8192):
-        np.minimum(out, ((values[None, i : i + 8192] ^ _FLIP[:, None]) * _TIMES[:, None]).min(1), out=out)
+    for i in range(0, len(values), 1024):
+        np.minimum(out, ((values[None, i : i + 1024] ^ _FLIP[:, None]) * _TIMES[:, None]).min(1), out=out)
     return out
 
 

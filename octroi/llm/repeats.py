@@ -65,9 +65,11 @@ def anchors_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     prefix = prefix_hash(data)
     i = np.arange(len(data) - FIRST + 1)
     name = span_hash(prefix, i, i + FIRST)
-    least = sliding_least((name & ~PLACE) | i.astype(np.uint64), LENGTH - FIRST + 1)
-    anchor = (least & PLACE).astype(np.int64)
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(anchor)]
+    least = sliding_least((name & ~PLACE) | i.view(np.uint64), LENGTH - FIRST + 1)
+    del i
+    least &= PLACE
+    anchor = least.view(np.int64)
+    row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))[: len(anchor)]
     whole = np.arange(len(anchor)) + LENGTH <= at[row + 1]
     change = np.ones(len(anchor) + 1, bool)
     change[1:-1] = (anchor[1:] != anchor[:-1]) | ~whole[:-1] | ~whole[1:]
