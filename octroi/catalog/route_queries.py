@@ -74,25 +74,24 @@ view(
 )
 _TOLL = "c1 * CASE s.vehicle_class WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 1.5466::DOUBLE WHEN 3 THEN 2.4801::DOUBLE WHEN 4 THEN 3.3333::DOUBLE ELSE 0.5849::DOUBLE END"
 _KEY = "origin_id, vehicle_class, mode, k_toll, k_m, k_s"
+# One row a (search, node). A round reads the rows that the last one improved; equal costs don't replace, so fewer moves stay.
 view(
-    "st_0",
-    f"""SELECT {_KEY}, gare_id * 2 AS node, min(struct_pack(cost := (k_toll * 0.0 + k_m * (distance_m + 500)) + k_s * (duration_s + 180), toll := 0.0::DOUBLE, m := distance_m + 500, s := duration_s + 180, h := 0, p := [gare_id * 8 + 5])) AS v
-  FROM {{srch}} JOIN {{acc}} ON hub_id = origin_id AND direction = 'entry' GROUP BY ALL""",
+    "st",
+    f"""USING KEY origin_id, vehicle_class, mode, node OF {_KEY}, node, v
+  SELECT {_KEY}, gare_id * 2 AS node, min(struct_pack(cost := k_toll * 0.0 + k_m * (distance_m + 500) + k_s * (duration_s + 180), h := 0::BIGINT, via := -1::BIGINT, toll := 0.0::DOUBLE, m := distance_m + 500, s := duration_s + 180, p := [gare_id * 8 + 5])) AS v
+  FROM {{srch}} JOIN {{acc}} ON hub_id = origin_id AND direction = 'entry' GROUP BY ALL
+  UNION ALL
+  SELECT c.* FROM (
+    SELECT {_KEY}, to_node AS node, min(struct_pack(cost := v.cost + (k_toll * ({_TOLL}) + k_m * e_m + k_s * e_s), h := v.h + 1, via := m.node * 8 + step % 8, toll := v.toll + {_TOLL}, m := v.m + e_m, s := v.s + e_s, p := list_append(v.p, step))) AS v
+    FROM sv_st s JOIN {{mv}} m ON m.node = s.node GROUP BY ALL) c
+  LEFT JOIN recurring.sv_st o ON o.origin_id = c.origin_id AND o.vehicle_class = c.vehicle_class AND o.mode = c.mode AND o.node = c.node
+  WHERE o.v IS NULL OR c.v.cost < o.v.cost""",
 )
-_SEARCH_ROUNDS = 32
-_TIE = "(1e-6::DOUBLE + ((to_node * 7919 + to_node % 10007 * (m.node % 10007) * 31 + step % 8 * 104729) % 10007) / 10007.0::DOUBLE * 1e-6::DOUBLE)"
-for _i in range(1, _SEARCH_ROUNDS + 1):
-    view(
-        f"st_{_i}",
-        f"""SELECT {_KEY}, node, min(v) AS v FROM (SELECT * FROM {{st_{_i - 1}}} UNION ALL
-    SELECT {_KEY}, to_node AS node, min(struct_pack(cost := v.cost + (((k_toll * ({_TOLL}) + k_m * e_m) + k_s * e_s) + {_TIE}), toll := v.toll + {_TOLL}, m := v.m + e_m, s := v.s + e_s, h := v.h + 1, p := list_append(v.p, step))) AS v
-    FROM {{st_{_i - 1}}} s JOIN {{mv}} m ON m.node = s.node WHERE v.h = {_i - 1} GROUP BY ALL) GROUP BY ALL""",
-    )
 view(
     "rts",
     f"""SELECT origin_id, vehicle_class, mode, destination_id, struct_pack(cost := (k_toll * q.toll + k_m * q.m) + k_s * q.s, toll := q.toll, m := q.m, s := q.s, h := q.h, p := q.p, last_m := q.last_m) AS r FROM (
   SELECT {_KEY}, hub_id AS destination_id, min(struct_pack(cost := v.cost + ((k_toll * 0.0 + k_m * a.distance_m) + k_s * a.duration_s), node := s.node, toll := v.toll, m := v.m + a.distance_m, s := v.s + a.duration_s, h := v.h, p := v.p, last_m := a.distance_m)) AS q
-  FROM {{st_{_SEARCH_ROUNDS}}} s JOIN {{acc}} a ON a.direction = 'exit' AND s.node = a.gare_id * 2 + 1 WHERE hub_id <> origin_id GROUP BY ALL)""",
+  FROM {{st}} s JOIN {{acc}} a ON a.direction = 'exit' AND s.node = a.gare_id * 2 + 1 WHERE hub_id <> origin_id GROUP BY ALL)""",
 )
 view(
     "wanted_rts",

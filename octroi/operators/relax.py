@@ -1,9 +1,16 @@
-"""Many shortest-path searches in one iterative DataFrame job.
-
-State is one narrow row per (search, node): its cost, further additive totals and `via`, the move
-that reached it. Each round joins the rows improved last round to the moves, and one aggregation
-over old rows and candidates keeps the cheapest. Every column is a primitive, so that aggregation is
-a hash aggregation with a map-side combine; paths are read off at the end, for wanted rows only.
+"""Many shortest-path searches in one iterative DataFrame job, several weightings a row.
+
+A state row is a (search, node) with one cost column for each of the search's lanes (weightings) and the round
+in which that cost was found. A round joins the rows improved last to the moves, takes the least candidate of
+each lane in one hash aggregation (all columns are primitive, so it combines on the map side), and looks these
+up in the state: only improvements are written. The state lies in fixed buckets by (search, node) as a large
+table and a small one of recent improvements, so a round exchanges the frontier and its candidates and never the
+state; the small table is folded into the large one when it has grown to a quarter of it.
+
+Costs are replaced only by lesser ones, so of ways of equal cost the one of the fewest moves stays. No way is
+carried along: a row's last move is the one whose start has, in its lane, exactly the cost that with the move's
+own gives the row's, of the fewest moves, then of the least `via` = node * 8 + kind. `ways_back` finds
+these moves for the wanted rows only.
 """
 
 from __future__ import annotations
@@ -13,21 +20,22 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from octroi.session import cut_lineage, written
+from octroi.session import bucketed, written
 
 FAN_ROWS = 50_000
-TIE_STEP = 1e-6
+#: The recent table is folded into the state once it has this share of its rows.
+FOLD_AT = 0.25
 
+#: Increment of lane k over a joined (state, context, move) row; null where the move can't be used.
+Increment = Callable[[int], Column]
 
-def tie_step(to_node, kind, node=None) -> Column:
-    """A tiny positive cost per move: fewer moves win a tie, and equal chains get a fixed order.
 
-    Far below a cent or a second, far above rounding noise; it also makes free cycles strictly worse.
-    With the node that a move leaves, the same nodes in another order differ too.
-    """
-    node = F.lit(0) if node is None else node
-    mix = F.pmod(to_node * 7919 + to_node % 10007 * (node % 10007) * 31 + kind * 104729, F.lit(10007)) / F.lit(10007.0)
-    return F.lit(TIE_STEP) + mix * F.lit(TIE_STEP)
+def costs(lanes: int) -> list[str]:
+    return [f"c{k}" for k in range(lanes)]
+
+
+def rounds(lanes: int) -> list[str]:
+    return [f"h{k}" for k in range(lanes)]
 
 
 def fan_out(moves: DataFrame, on: list[str], rows: int = FAN_ROWS) -> DataFrame:
@@ -48,106 +56,148 @@ def fan_out(moves: DataFrame, on: list[str], rows: int = FAN_ROWS) -> DataFrame:
     )
 
 
-def task_count(df: DataFrame, rows_per_task: int = 500_000) -> int:
-    """Partitions for a table that is joined every round: by its size, within the session's setting."""
-    spark = df.sparkSession
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(most, max(spark.sparkContext.defaultParallelism, df.count() // rows_per_task)))
-
-
 def relax(
     seeds: DataFrame,
     moves: DataFrame,
     keys: list[str],
-    totals: dict[str, Column],
+    increment: Increment,
+    lanes: int = 1,
     context: DataFrame | None = None,
     on: list[str] | None = None,
-    usable: Column | None = None,
-    bound: Callable[[DataFrame], DataFrame] | None = None,
+    limit: Callable[[DataFrame], DataFrame] | None = None,
+    capped: bool = False,
     fan_rows: int = FAN_ROWS,
 ) -> DataFrame:
-    """Cheapest way from the seeds to every reachable node: keys, node, totals, hops, via.
-
-    seeds: keys, node and the totals. moves: node, to_node, kind (0..7) and what the increments need.
-    `totals` maps each total to its increment over a joined (state, context, move) row; the first
-    is the cost that is minimised. `context` holds per-search constants by `keys`. `on` names the
-    columns that tie a state to its moves. `usable` keeps only some joined rows. `bound(state)` may give
-    (keys, bound): no row above it can matter any more. `via` is `node * 8 + kind` of the last
-    move, NULL at a seed.
+    """Least cost from the seeds to every reachable node: keys, node, c0 …, h0 … (moves made).
+
+    seeds: keys, node and c0 … (null: the lane doesn't start there). moves: node, to_node, kind (0..7)
+    and what the increments need. `context` holds per-search constants by `keys`. `on` names the columns
+    that tie a state to its moves. `limit(improved)` may give (keys, b0 …): costs above it can lead nowhere that
+    matters, and are dropped. capped: the context itself holds b0 …, for good.
     """
     on = on or ["node"]
-    cost, *others = list(totals)
-    spread = fan_out(moves, on, fan_rows)
-    # Moves are laid out once by join key and keep that layout, so rounds shuffle only the frontier.
-    table = cut_lineage(spread.repartition(task_count(moves), *on, "salt"))
+    c, h, row = costs(lanes), rounds(lanes), [*keys, "node"]
+    table, _ = bucketed(fan_out(moves, on, fan_rows), "moves", [*on, "salt"])
     degree = table.groupBy(*on).agg((F.max("salt") + 1).alias("fan"))
-    plain = [*others, "hops", "via", "fan"]
-
-    def cheapest(df: DataFrame) -> DataFrame:
-        """One row per (search, node); `is_new` where a candidate beats the old row strictly."""
-        out = df.groupBy(*keys, "node").agg(
-            F.min(cost).alias(cost),
-            F.min(F.when(F.col("old"), F.col(cost))).alias("_old"),
-            *[F.min_by(c, cost).alias(c) for c in plain],
-        )
-        return out.withColumn("is_new", F.col("_old").isNull() | (F.col(cost) < F.col("_old"))).drop("_old")
-
-    cols = [*keys, "node", cost, *plain, "old"]
-    start = seeds.join(degree, on, "left").withColumns(
-        {"fan": F.coalesce("fan", F.lit(0)), "hops": F.lit(0), "via": F.lit(None).cast("bigint"), "old": F.lit(False)}
-    )
-    state = cut_lineage(cheapest(start.select(*cols)))
-    while True:
-        front = state.where("is_new AND fan > 0")
-        if front.isEmpty():
-            return state.drop("is_new", "fan")
-        limit = written(bound(state), "bound") if bound is not None else None
+    none = F.coalesce(*c).isNull()
+    start = seeds.groupBy(*row).agg(*(F.min(k).alias(k) for k in c)).where(~none).join(degree, on, "left").withColumn("fan", F.coalesce("fan", F.lit(0)))
+    improved = written(start, "frontier")
+    (state, plain), recent, recent_plain, n = bucketed(improved.select(*row, *c, *(F.when(F.col(k).isNotNull(), 0).alias(g) for k, g in zip(c, h, strict=True))), "state", row), None, None, 0
+    state_rows = plain.count()
+
+    def fold(parts: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+        """A later cost of a row is always less than its earlier ones."""
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        return bucketed(every.groupBy(*row).agg(*(F.min(k).alias(k) for k in c), *(F.max(g).alias(g) for g in h)), "state", row)
+
+    while not improved.where("fan > 0").isEmpty():
+        n += 1
+        front, bounded = improved.where("fan > 0"), capped
+        constants = context
         if limit is not None:
-            # Rows dearer than the bound can lead nowhere that matters: they are not expanded.
-            front = front.join(limit, keys, "left").where(f"bound IS NULL OR {cost} <= bound")
-        visits = front.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("fan") - 1))).drop("is_new", "fan", "via")
-        if context is not None:
-            visits = visits.join(context, keys)
-        joined = visits.join(table, [*on, "salt"])
-        if usable is not None:
-            joined = joined.where(usable)
-        reached = joined.select(
-            *keys,
-            F.col("to_node").alias("node"),
-            *[(F.col(n) + inc).alias(n) for n, inc in totals.items()],
-            (F.col("hops") + 1).alias("hops"),
-            (F.col("node") * 8 + F.col("kind")).alias("via"),
-            "fan",
-            F.lit(False).alias("old"),
-            *(["bound"] if limit is not None else []),
+            bounds = limit(improved)
+            constants, bounded = bounds if constants is None else constants.join(bounds, keys, "left"), True
+        visits = front.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("fan") - 1))).drop("fan")
+        if constants is not None:
+            visits = visits.join(constants, keys, "left")
+        within = lambda k, v: F.when(F.col(f"b{k}").isNull() | (v <= F.col(f"b{k}")), v) if bounded else v  # noqa: B023, E731
+        if bounded:
+            visits = visits.withColumns({c[k]: within(k, F.col(c[k])) for k in range(lanes)}).where(~none)
+        reached = visits.join(table, [*on, "salt"]).select(
+            *keys, F.col("to_node").alias("node"), *(within(k, F.col(c[k]) + increment(k)).alias(f"n{k}") for k in range(lanes)), "fan"
         )
-        if limit is not None:
-            reached = reached.where(f"bound IS NULL OR {cost} <= bound")
-        state = cut_lineage(cheapest(state.withColumn("old", F.lit(True)).select(*cols).unionByName(reached.select(*cols))))
-
-
-WALK_STEPS = 6
-
-
-def walk_back(heads: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds `path`, from the seed to `node`, as array<struct<node, kind>>; kind is NULL at the seed.
+        found = reached.groupBy(*row).agg(*(F.min(f"n{k}").alias(f"n{k}") for k in range(lanes)), F.max("fan").alias("fan"))
+        known = [state.select(*row, *(F.col(k).alias(f"s{k}") for k in c))]
+        if recent is not None:
+            known.append(recent.select(*row, *(F.col(k).alias(f"r{k}") for k in c)))
+        for k in known:
+            found = found.join(k, row, "left")
+        old = lambda k: F.least(f"sc{k}", f"rc{k}") if recent is not None else F.col(f"sc{k}")  # noqa: B023, E731
+        better = (F.when(old(k).isNull() | (F.col(f"n{k}") < old(k)), F.col(f"n{k}")).alias(c[k]) for k in range(lanes))
+        improved = written(found.select(*row, *better, "fan").where(~none), "frontier")
+        now = improved.select(*row, *c, *(F.when(F.col(k).isNotNull(), n).alias(g) for k, g in zip(c, h, strict=True)))
+        recent, recent_plain = fold([now] if recent is None else [recent_plain, now])
+        if recent_plain.count() > FOLD_AT * state_rows:
+            (state, plain), recent = fold([plain, recent_plain]), None
+            state_rows = plain.count()
+    return state if recent is None else fold([plain, recent_plain])[0]
+
+
+def of_lane(names: list[str], lane: str = "lane") -> Column:
+    """The value of the lane that the row names, from its columns for all lanes."""
+    return F.array(*names).getItem(F.col(lane))
+
+
+def ways_back(
+    wanted: DataFrame,
+    state: DataFrame,
+    moves: DataFrame,
+    keys: list[str],
+    increment: Increment,
+    lanes: int = 1,
+    context: DataFrame | None = None,
+    on: list[str] | None = None,
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
+    """The last move of every row on the way to a wanted one: keys, lane, node, prev, kind, `carry` of the move.
 
-    Follows `via` by joins, a few steps per written table, until every head has met its seed. A
-    finished head keeps looking up its own seed, so each step is one inner join on all heads.
+    wanted: keys, node, lane. Rows are looked at once each however many ways pass them, from the
+    most moves down, and leave when they are done; rows at a seed have no last move.
+    """
+    on = on or ["node"]
+    others = [x for x in on if x != "node"]
+    at = [*keys, "lane", "node"]
+    values = state.select(*keys, "node", *costs(lanes), *rounds(lanes))
+    rows = wanted.select(*at).distinct().join(values, [*keys, "node"])
+    rows = written(rows.select(*at, of_lane(costs(lanes)).alias("cost"), of_lane(rounds(lanes)).alias("moves")).where("moves > 0"), "wanted")
+    arrivals = moves.withColumnRenamed("node", "from_node").withColumnRenamed("to_node", "node").select(*others, "node", "from_node", *(x for x in moves.columns if x not in ("node", "to_node", *others)))
+    start = values.withColumnRenamed("node", "from_node")
+    links = []
+    level = rows.agg(F.max("moves")).first()[0]
+    while level:
+        here = rows.where(F.col("moves") == level)
+        if context is not None:
+            here = here.join(context, keys)
+        met = here.join(arrivals, [*others, "node"]).join(start, [*keys, "from_node"])
+        before, step = of_lane(costs(lanes)), F.array(*(increment(k) for k in range(lanes))).getItem(F.col("lane"))
+        best = F.min(F.struct(of_lane(rounds(lanes)).alias("before_moves"), (F.col("from_node") * 8 + F.col("kind")).alias("via"), before.alias("before"), *(F.col(x).alias(x) for x in carry)))
+        link = written(met.where(before + step == F.col("cost")).groupBy(*at).agg(best.alias("m")).select(*at, F.floor(F.col("m.via") / 8).alias("prev"), F.pmod(F.col("m.via"), F.lit(8)).cast("int").alias("kind"), "m.*"), "links")
+        links.append(link.select(*at, "prev", "kind", *carry))
+        further = link.where("before_moves > 0").select(*keys, "lane", F.col("prev").alias("node"), F.col("before").alias("cost"), F.col("before_moves").alias("moves"))
+        rows = written(rows.where(F.col("moves") < level).unionByName(further).distinct(), "wanted")
+        level = rows.agg(F.max("moves")).first()[0]
+    if not links:
+        kinds = dict(moves.dtypes)
+        return rows.select(*at, F.lit(None).cast("bigint").alias("prev"), F.lit(None).cast("int").alias("kind"), *(F.lit(None).cast(kinds[x]).alias(x) for x in carry)).limit(0)
+    every = links[0]
+    for link in links[1:]:
+        every = every.unionByName(link)
+    return every
+
+
+def walk(heads: DataFrame, links: DataFrame, keys: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """keys, lane, node, path for each of `heads` (keys, lane, node): array<struct<node, kind, carry…>> from the seed on.
+
+    Pointers are doubled: rows that know where they are after 2^k moves back reach 2^(k+1), and those that
+    have met their seed leave. What was visited is gathered once, at the end. kind is null at the seed.
     """
-    link = state.select(*keys, F.col("node").alias("_at"), "via")
-    none = F.array().cast("array<struct<node:bigint,kind:int>>")
-    rows = heads.withColumns({"_at": F.col("node").cast("bigint"), "path": none, "_done": F.lit(False)})
-    while True:
-        for _ in range(WALK_STEPS):
-            step = F.struct(F.col("_at").alias("node"), F.pmod("via", F.lit(8)).cast("int").alias("kind"))
-            rows = (
-                rows.join(link, [*keys, "_at"])
-                .withColumn("path", F.when(F.col("_done"), F.col("path")).otherwise(F.concat(F.array(step), "path")))
-                .withColumn("_done", F.col("via").isNull())
-                .withColumn("_at", F.coalesce(F.floor(F.col("via") / 8), F.col("_at")))
-                .drop("via")
-            )
-        rows = written(rows, "walk")
-        if rows.where("NOT _done").isEmpty():
-            return rows.drop("_at", "_done")
+    at = [*keys, "lane", "node"]
+    jump = links.select(*at, F.col("prev").alias("up"))
+    seen = [written(heads.select(*at).distinct().withColumns({"head": F.col("node"), "back": F.lit(0)}), "walk")]
+    size = 1
+    while not jump.isEmpty():
+        every = seen[0]
+        for s in seen[1:]:
+            every = every.unionByName(s)
+        seen.append(written(every.join(jump, at).select(*keys, "lane", F.col("up").alias("node"), "head", (F.col("back") + size).alias("back")), "walk"))
+        further = jump.select(*keys, "lane", F.col("node").alias("up"), F.col("up").alias("beyond"))
+        jump = written(jump.join(further, [*keys, "lane", "up"]).select(*at, F.col("beyond").alias("up")), "jump")
+        size *= 2
+    every = seen[0]
+    for s in seen[1:]:
+        every = every.unionByName(s)
+    step = F.struct((-F.col("back")).alias("back"), "node", "kind", *carry)
+    path = F.transform(F.array_sort(F.collect_list(step)), lambda v: F.struct(v["node"].alias("node"), v["kind"].alias("kind"), *(v[x].alias(x) for x in carry)))
+    return every.join(links.drop("prev"), at, "left").groupBy(*keys, "lane", "head").agg(path.alias("path")).withColumnRenamed("head", "node")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from octroi.operators.places import class_prices
 from octroi.operators.ranking import row_positions, running_total
-from octroi.operators.relax import relax, tie_step
+from octroi.operators.relax import relax
 from octroi.operators.spatial import points_near_polylines
 from octroi.session import cut_lineage, written
 
@@ -158,14 +158,11 @@ def chain_prices(sections: DataFrame, links: DataFrame, pairs: DataFrame) -> Dat
     missing = need.join(direct, [*SECTION, "a", "b"], "left_anti")
     far = missing.groupBy(*SECTION, "a").agg(F.max("b").alias("cap_b"))
     far = written(far.withColumnRenamed("a", "src"), "chain-starts")
-    seeds = far.select(*SECTION, "src", F.col("src").alias("node"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("price"))
+    seeds = far.select(*SECTION, "src", F.col("src").alias("node"), F.lit(0.0).alias("c0"))
     moves = links.select(*SECTION, F.col("i").alias("node"), F.col("j").alias("to_node"), F.lit(0).alias("kind"), F.col("price").alias("w"))
-    found = relax(
-        seeds, moves, [*SECTION, "src"],
-        {"cost": F.col("w") + tie_step(F.col("to_node"), F.col("kind")), "price": F.col("w")},
-        context=far, on=[*SECTION, "node"], usable=F.col("to_node") <= F.col("cap_b"),
-    )
-    chain = found.select(*SECTION, F.col("src").alias("a"), F.col("node").alias("b"), F.col("price").alias("chained"))
+    within = F.when(F.col("to_node") <= F.col("cap_b"), F.col("w"))
+    found = relax(seeds, moves, [*SECTION, "src"], lambda _: within, context=far, on=[*SECTION, "node"])
+    chain = found.select(*SECTION, F.col("src").alias("a"), F.col("node").alias("b"), F.col("c0").alias("chained"))
     part = (
         spans.join(direct, [*SECTION, "a", "b"], "left")
         .join(chain, [*SECTION, "a", "b"], "left")

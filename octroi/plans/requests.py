@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from octroi.functions.pricing import VOT_STEPS, vot_bucket, vot_grid
 from octroi.operators.network import DWELL_M, DWELL_S
 from octroi.functions.paths import ENTRY
-from octroi.operators.relax import relax, tie_step, walk_back
+from octroi.operators.relax import relax, walk, ways_back
 from octroi.session import written
 
 SEARCH = ["origin_id", "vehicle_class", "mode"]
 GROUP = ["origin_id", "destination_id", "vehicle_class", "vot_bucket"]
 FASTEST = 0
 BEST_BASE = 1000  # mode of the search at a request's own value of time: BEST_BASE + bucket
-WEIGHTS = ["vot", "k_toll", "k_m", "k_s"]
 
 
 def bucketed(requests: DataFrame, classes: DataFrame) -> DataFrame:
@@ -67,6 +66,26 @@ def weighted(toll, metres, seconds):
     return F.col("k_toll") * toll + F.col("k_m") * metres + F.col("k_s") * seconds
 
 
+#: Weightings of an origin and class that are searched together, as lanes of one row.
+LANES = 12
+BUNDLE = ["origin_id", "vehicle_class", "bundle"]
+FACTORS = ["k_toll", "k_m", "k_s"]
+
+
+def bundles(search: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Bundles of up to LANES weightings with a column for each lane's factors, and the lane of each search."""
+    number = F.row_number().over(Window.partitionBy("origin_id", "vehicle_class").orderBy("mode")) - 1
+    lanes = search.withColumn("_n", number).withColumns({"bundle": F.floor(F.col("_n") / LANES).cast("int"), "lane": F.col("_n") % LANES})
+    of = lambda k, c: F.max(F.when(F.col("lane") == k, F.col(c))).alias(f"{c}_{k}")
+    wide = lanes.groupBy(*BUNDLE).agg(*(of(k, c) for k in range(LANES) for c in FACTORS))
+    return wide, lanes.select(*BUNDLE, "lane", *[c for c in search.columns if c not in BUNDLE])
+
+
+def lane_cost(k: int, toll, metres, seconds):
+    """What a way costs in lane k; null where the lane is not in use."""
+    return F.col(f"k_toll_{k}") * toll + F.col(f"k_m_{k}") * metres + F.col(f"k_s_{k}") * seconds
+
+
 def route_table(groups: DataFrame, classes: DataFrame, legs: DataFrame, moves: DataFrame) -> DataFrame:
     """Best route per (search, destination): totals, path of steps, length of the last leg.
 
@@ -75,6 +94,8 @@ def route_table(groups: DataFrame, classes: DataFrame, legs: DataFrame, moves: D
     """
     search = written(searches(groups, classes), "searches")
     goal = written(targets(groups, search), "targets")
+    wide, laned = bundles(search)
+    wide, laned = written(wide, "bundles"), written(laned, "lanes")
     # Exit legs are shaped by gate once and read in every round.
     exits = written(
         legs.where("direction = 'exit'").select(
@@ -83,49 +104,58 @@ def route_table(groups: DataFrame, classes: DataFrame, legs: DataFrame, moves: D
         ),
         "exits",
     )
-    served = exits.select("destination_id").distinct()
-    goal_served = goal.join(served, "destination_id", "left_semi")
-    entry = legs.where("direction = 'entry'").select(
-        F.col("hub_id").alias("origin_id"), "gare_id", (F.col("duration_s") + DWELL_S).alias("s"), (F.col("distance_m") + DWELL_M).alias("m")
-    )
-    zero = F.lit(0.0)
-    seeds = search.join(entry, "origin_id").select(
-        *SEARCH, (F.col("gare_id") * 2).alias("node"),
-        weighted(zero, F.col("m"), F.col("s")).alias("cost"), zero.alias("toll"),
-        F.col("m").alias("distance_m"), F.col("s").alias("duration_s"),
+    asked = groups.where("origin_id <> destination_id").select("origin_id", "vehicle_class", "destination_id").distinct()
+    aims = written(wide.select(*BUNDLE).join(asked, ["origin_id", "vehicle_class"]).join(exits.select("destination_id").distinct(), "destination_id", "left_semi"), "aims")
+    entry = written(
+        legs.where("direction = 'entry'").select(
+            F.col("hub_id").alias("origin_id"), (F.col("gare_id") * 2).alias("node"),
+            (F.col("duration_s") + DWELL_S).alias("s"), (F.col("distance_m") + DWELL_M).alias("m"),
+        ),
+        "entries",
     )
+    zero = F.lit(0.0)
+    each = range(LANES)
+    seeds = wide.join(entry, "origin_id").select(*BUNDLE, "node", *(lane_cost(k, zero, F.col("m"), F.col("s")).alias(f"c{k}") for k in each))
     toll = F.element_at("tolls", F.col("vehicle_class").cast("int"))
-    weights = search.select(*SEARCH, *WEIGHTS)
-    out_cost = F.col("cost") + weighted(zero, F.col("x_m"), F.col("x_s"))
-
-    def bound(state: DataFrame) -> DataFrame:
-        """Cost of the dearest destination already reached, once every served one has been."""
-        reached = state.join(exits, "node").join(weights, SEARCH).groupBy(*SEARCH, "destination_id").agg(F.min(out_cost).alias("c"))
-        return (
-            goal_served.join(reached, [*SEARCH, "destination_id"], "left")
-            .groupBy(*SEARCH)
-            .agg(F.when(F.count("c") == F.count(F.lit(1)), F.max("c") + 1e-9).alias("bound"))
-        )
-
-    increments = {
-        "cost": weighted(toll, F.col("e_m"), F.col("e_s")) + tie_step(F.col("to_node"), F.col("kind"), F.col("node")),
-        "toll": toll, "distance_m": F.col("e_m"), "duration_s": F.col("e_s"),
-    }
-    state = relax(seeds, moves, SEARCH, increments, context=weights, usable=toll.isNotNull(), bound=bound)
-    ends = state.join(exits, "node").join(weights, SEARCH).join(goal, [*SEARCH, "destination_id"], "left_semi")
-    order = F.struct(
-        out_cost.alias("cost"), "node", "toll", (F.col("distance_m") + F.col("x_m")).alias("distance_m"),
-        (F.col("duration_s") + F.col("x_s")).alias("duration_s"), "hops", F.col("x_m").alias("last_m"),
+    step = lambda k: lane_cost(k, toll, F.col("e_m"), F.col("e_s"))
+    leave = lambda k: F.col(f"c{k}") + lane_cost(k, zero, F.col("x_m"), F.col("x_s"))
+    met: list[DataFrame] = []  # the least cost at each destination so far, one table
+
+    def limit(improved: DataFrame) -> DataFrame:
+        """Cost of the dearest destination in each lane, once it has met them all; from the improved rows alone."""
+        found = improved.join(exits, "node").join(wide, BUNDLE).select(*BUNDLE, "destination_id", *(leave(k).alias(f"c{k}") for k in each))
+        every = found if not met else met.pop().unionByName(found)
+        met.append(written(every.groupBy(*BUNDLE, "destination_id").agg(*(F.min(f"c{k}").alias(f"c{k}") for k in each)), "met"))
+        all_met = (F.when(F.count(f"c{k}") == F.count(F.lit(1)), F.max(f"c{k}")).alias(f"b{k}") for k in each)
+        return aims.join(met[0], [*BUNDLE, "destination_id"], "left").groupBy(*BUNDLE).agg(*all_met)
+
+    state = relax(seeds, moves, BUNDLE, step, LANES, context=wide, limit=limit)
+    last = lambda k: F.min(F.when(leave(k).isNotNull(), F.struct(leave(k).alias("cost"), "node", F.col("x_m").alias("last_m"), F.col("x_s").alias("last_s"))))
+    ends = state.join(exits, "node").join(wide, BUNDLE).join(aims, [*BUNDLE, "destination_id"], "left_semi")
+    ends = ends.groupBy(*BUNDLE, "destination_id").agg(F.array(*(last(k) for k in each)).alias("r"))
+    best = ends.select(*BUNDLE, "destination_id", F.posexplode("r").alias("lane", "r")).where("r is not null").select(*BUNDLE, "destination_id", "lane", "r.*")
+    best = written(best.join(laned, [*BUNDLE, "lane"]).join(goal, [*SEARCH, "destination_id"], "left_semi"), "ends")
+    increments = (toll.alias("toll"), F.col("e_m"), F.col("e_s"))
+    of_class = F.explode(F.array(*(F.lit(i) for i in range(1, 6)))).alias("vehicle_class")
+    priced_moves = moves.select("node", "to_node", "kind", "e_m", "e_s", "tolls", of_class).select("node", "to_node", "kind", "vehicle_class", *increments).where("toll is not null")
+    leg = lambda k: lane_cost(k, F.col("toll"), F.col("e_m"), F.col("e_s"))
+    carry = ("toll", "e_m", "e_s")
+    links = ways_back(best.select(*BUNDLE, "lane", "node"), state, priced_moves, BUNDLE, leg, LANES, context=wide, on=["vehicle_class", "node"], carry=carry)
+    links = written(links, "ways-back")
+    walked = walk(best.select(*BUNDLE, "lane", "node"), links, BUNDLE, carry)
+    found = best.join(walked, [*BUNDLE, "lane", "node"])
+    seed = entry.withColumnRenamed("node", "_seed")
+    found = found.withColumn("_seed", F.col("path")[0]["node"]).join(seed, ["origin_id", "_seed"])
+    sums = lambda first, name: F.aggregate(F.slice("path", 2, F.size("path")), first, lambda t, v: t + v[name])
+    steps = F.transform("path", lambda v: F.floor(v["node"] / 2) * 8 + F.coalesce(v["kind"], F.lit(ENTRY)))
+    found = found.select(
+        *SEARCH, "destination_id", sums(zero, "toll").alias("toll"), (sums(F.col("m"), "e_m") + F.col("last_m")).alias("distance_m"),
+        (sums(F.col("s"), "e_s") + F.col("last_s")).alias("duration_s"), (F.size("path") - 1).alias("hops"), steps.alias("path"), "last_m",
     )
-    best = ends.groupBy(*SEARCH, "destination_id").agg(F.min(order).alias("r")).select(*SEARCH, "destination_id", "r.*")
-    walked = walk_back(best, state, SEARCH)
-    path = F.transform("path", lambda v: F.floor(v["node"] / 2) * 8 + F.coalesce(v["kind"], F.lit(ENTRY)))
-    found = walked.select(*SEARCH, "destination_id", "toll", "distance_m", "duration_s", "hops", path.alias("path"), "last_m")
     stay = groups.where("origin_id = destination_id").select("origin_id", "vehicle_class", "destination_id").distinct()
     home = search.join(stay, ["origin_id", "vehicle_class"]).select(
         *SEARCH, "destination_id", *[zero.alias(c) for c in ("toll", "distance_m", "duration_s")],
         F.lit(0).alias("hops"), F.array().cast("array<bigint>").alias("path"), zero.alias("last_m"),
     )
-    # The cost that is reported is worked out from the totals, without the tie steps.
     priced = found.unionByName(home).join(search, SEARCH)
     return priced.withColumn("cost", weighted(F.col("toll"), F.col("distance_m"), F.col("duration_s"))).drop("k_toll", "k_m", "k_s")

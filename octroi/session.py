@@ -65,3 +65,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Like `written`, in as many buckets by `keys` as shuffles have partitions: a join on them doesn't exchange it.
+
+    Returns the frame that knows its buckets, and a plain one for unions: Spark may take a union of bucketed
+    scans for bucketed and then not read it so. The table is registered only while it is written.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    table = f"octroi_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("path", path)
+    writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).saveAsTable(table)
+    found = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the files stay, as the table only points to them
+    return found, spark.read.schema(df.schema).parquet(path)

@@ -309,6 +309,10 @@ def checker_sql(body: str, extra: dict[str, str] | None = None) -> str:
 
     def cte(n: str) -> str:
         text = fill(texts[n]).strip()
+        if text.startswith("USING KEY"):  # a recursive view that keeps one row a key: its columns and keys stand in its first line
+            head, text = text.split("\n", 1)
+            columns, keys = re.fullmatch(r"USING KEY (.+) OF (.+)", head).group(2, 1)
+            return f"sv_{n}({columns}) USING KEY ({keys}) AS ({text})"
         own = re.search(rf"\bsv_{n}\b", text)  # a view that names itself is recursive
         return f"sv_{n} AS {'' if own else 'MATERIALIZED '}({text})"
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from octroi.functions import paths, pricing
 from octroi.operators import sections
-from octroi.operators.relax import relax, walk_back
+from octroi.operators.relax import relax, walk, ways_back
 
 
 def dijkstra(edges, start):
@@ -21,26 +21,43 @@ def dijkstra(edges, start):
     return dist
 
 
-def test_relax_matches_dijkstra_with_salted_hot_node(spark):
+def test_relax_matches_dijkstra_in_every_lane_with_salted_hot_node(spark):
     rng = random.Random(11)
-    raw = [(rng.randrange(40), rng.randrange(40), float(rng.randrange(1, 50))) for _ in range(300)] + [(0, v, 30.0 + v) for v in range(1, 40)]
-    moves = spark.createDataFrame([(a, b, 0, w) for a, b, w in raw], "node bigint, to_node bigint, kind int, w double")
-    seeds = spark.createDataFrame([(s, s, 0.0) for s in (0, 7)], "src bigint, node bigint, cost double")
-    state = relax(seeds, moves, ["src"], {"cost": F.col("w")}, fan_rows=5)
-    graph = {}
-    for a, b, w in raw:
-        graph.setdefault(a, []).append((b, w))
-    got = {(r["src"], r["node"]): r["cost"] for r in state.collect()}
-    want = {(s, n): d for s in (0, 7) for n, d in dijkstra(graph, s).items()}
+    raw = {(rng.randrange(40), rng.randrange(40)): (float(rng.randrange(0, 20)), float(rng.randrange(0, 3))) for _ in range(300)}
+    raw |= {(0, v): (30.0 + v, 1.0) for v in range(1, 40)}
+    moves = spark.createDataFrame([(a, b, 0, *w) for (a, b), w in raw.items()], "node bigint, to_node bigint, kind int, u double, v double")
+    seeds = spark.createDataFrame([(s, s, 0.0, 0.0 if s else None) for s in (0, 7)], "src bigint, node bigint, c0 double, c1 double")
+    increment = lambda k: F.col("uv"[k])
+    state = relax(seeds, moves, ["src"], increment, lanes=2, fan_rows=5)
+    graphs = [{}, {}]
+    for (a, b), w in raw.items():
+        for k in (0, 1):
+            graphs[k].setdefault(a, []).append((b, w[k]))
+    got = {(r["src"], r["node"], k): r[f"c{k}"] for r in state.collect() for k in (0, 1) if r[f"c{k}"] is not None}
+    want = {(s, n, k): d for s, k in ((0, 0), (7, 0), (7, 1)) for n, d in dijkstra(graphs[k], s).items()}
     assert got == want
-    cheapest = {}
-    for a, b, w in raw:
-        cheapest[a, b] = min(w, cheapest.get((a, b), 1e9))
-    heads = state.select("src", "node", "cost")
-    for r in walk_back(heads, state, ["src"]).collect():
+    # the way of fewest moves among the cheapest ones, then of the least starts, last move first
+    heads = state.selectExpr("src", "node", "posexplode(array(c0, c1)) as (lane, c)").where("c is not null").drop("c")
+    links = ways_back(heads, state, moves, ["src"], increment, lanes=2, carry=("u",))
+    for r in walk(heads, links, ["src"], ("u",)).collect():
+        graph, cost = graphs[r["lane"]], lambda n, r=r: want.get((r["src"], n, r["lane"]))
+        hops = fewest_moves(graph, cost, r["src"])
         nodes = [v["node"] for v in r["path"]]
-        assert nodes[0] == r["src"] and nodes[-1] == r["node"]
-        assert abs(sum(cheapest[p] for p in zip(nodes, nodes[1:])) - r["cost"]) < 1e-9
+        assert nodes[0] == r["src"] and nodes[-1] == r["node"] and len(nodes) - 1 == hops[r["node"]]
+        for x, y in zip(nodes, nodes[1:]):
+            fit = [p for p in graph if hops.get(p) == hops[y] - 1 and any(t == y and cost(p) + w == cost(y) for t, w in graph[p])]
+            assert x == min(fit)
+        assert [v["u"] for v in r["path"]] == [None, *(raw[p][0] for p in zip(nodes, nodes[1:]))]
+
+
+def fewest_moves(graph, cost, start):
+    """Moves of the shortest way by moves among those that have the least cost."""
+    hops, level = {start: 0}, [start]
+    while level:
+        further = [t for p in level for t, w in graph.get(p, ()) if cost(p) + w == cost(t) and t not in hops]
+        hops |= {t: hops[level[0]] + 1 for t in further}
+        level = sorted(set(further))
+    return hops
 
 
 def one(spark, col, schema, row):
