@@ -20,7 +20,6 @@ import os
 import struct
 import zlib
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from octroi.llm.common import commit_file, read_file, small_batches, steps
+from octroi.llm.common import commit_file, prefix_hash, ranges, read_file, small_batches, span_hash, steps, word_spans
 from octroi.session import scratch_path
 
 MAGIC = b"OCTPACK1"
@@ -37,9 +36,11 @@ BLOCK = 4096
 #: Ids after which a part file is closed; at 16 bits 8 MB.
 FILE_IDS = 4 << 20
 #: Bytes of text encoded at once; distinct words kept between batches of a Python worker.
-STEP, CACHE_WORDS = 512 << 10, 300_000
+STEP, CACHE_WORDS = 1 << 20, 700_000
 #: Stands between words that are encoded together; words that hold it are encoded one by one.
 MARK = "\x01"
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
 def bits_for(vocabulary: int) -> int:
@@ -95,23 +96,12 @@ class TokenFile:
         return self.ids(int(self.first[k]), int(self.first[k + 1]))
 
 
-class Numbers(dict):
-    """Numbers words in the order in which they are first asked for; `new` are those not yet encoded."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self.new.append(word)
-        self[word] = len(self)
-        return len(self) - 1
-
-
 class WordEncoder:
     """Ids of texts by a tokenizer whose pieces never cross ASCII white space.
 
-    Each distinct word is encoded once by the library and kept; a text's ids are its words' ids.
+    Each distinct word of a step is looked up once among the words kept, by a 64-bit hash and then by its bytes;
+    the library encodes those that are new. Kept are sorted arrays, not objects: hashes, where the bytes and ids of
+    a word lie, and how often it has been met. When they are too many, the rarer half goes.
     """
 
     def __init__(self, path: str):
@@ -120,47 +110,88 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.clear()
-
-    def clear(self) -> None:
-        self.known = Numbers()
-        self.first, self.count, self.store, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 20, np.uint32), 0
-
-    def learn(self, words: list[bytes]) -> None:
-        """Encodes new words, many in one call, with a mark between them that none of them holds."""
+        none = np.zeros(0, np.int64)
+        self.hashes, self.met = np.zeros(0, np.uint64), none
+        self.spelled, self.letters = (none, none), np.zeros(0, np.uint8)
+        self.coded, self.ids = (none, none), np.zeros(0, np.uint32)
+
+    def learn(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new words and their numbers, many in one call, with a mark between them that none of them holds."""
+        flat, count = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for i in range(0, len(words), 2000):
             text = [w.decode() for w in words[i : i + 2000]]
             if any(MARK in t for t in text):
                 coded = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t in text]
-                flat, count = np.concatenate(coded), np.array([len(c) for c in coded])
+                flat += coded
+                count.append(np.array([len(c) for c in coded], np.int64))
             else:
                 joined = self.tokenizer.encode_batch_fast([f" {MARK} ".join([*text, ""])], add_special_tokens=False)[0]
                 ids = np.array(joined.ids, np.uint32)
                 marks = np.flatnonzero(ids == self.mark)
-                flat, count = np.delete(ids, marks), np.diff(marks, prepend=-1) - 1
-            while self.used + len(flat) > len(self.store):
-                self.store = np.concatenate([self.store, np.zeros(len(self.store), np.uint32)])
-            self.store[self.used : self.used + len(flat)] = flat
-            self.first = np.concatenate([self.first, self.used + np.cumsum(count) - count])
-            self.count = np.concatenate([self.count, count])
-            self.used += len(flat)
+                flat.append(np.delete(ids, marks))
+                count.append(np.diff(marks, prepend=-1) - 1)
+        return np.concatenate(flat), np.concatenate(count)
+
+    def keep(self, pick: np.ndarray) -> None:
+        """Only the kept words `pick`, ascending, stay."""
+        self.hashes, self.met = self.hashes[pick], self.met[pick]
+        self.spelled, self.letters = repacked(self.spelled, self.letters, pick)
+        self.coded, self.ids = repacked(self.coded, self.ids, pick)
+
+    def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts data[at[i]:at[i + 1]], one after the other, and the number of each text."""
+        start, end, row = word_spans(~SPACE[data], at)
+        if not len(start):
+            return np.zeros(0, np.uint32), np.zeros(len(at) - 1, np.int64)
+        hashes, first, which, times = np.unique(span_hash(prefix_hash(data), start, end), return_index=True, return_inverse=True, return_counts=True)
+        size = end - start
+        here = np.minimum(np.searchsorted(self.hashes, hashes), max(len(self.hashes) - 1, 0))
+        known = self.hashes[here] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        lead = first[which]
+        if not same_bytes(data, start, size, data, start[lead], size[lead]) or not same_bytes(
+            data, start[first[known]], size[first[known]], self.letters, self.spelled[0][here[known]], self.spelled[1][here[known]]
+        ):  # two words of one hash: this step goes without
+            raw = data.tobytes()
+            ids, count = self.learn([raw[a:b] for a, b in zip(start, end, strict=True)])
+        else:
+            self.met[here[known]] += times[known]
+            new = np.flatnonzero(~known)
+            if len(new):
+                raw = data.tobytes()
+                lead = first[new]
+                ids, count = self.learn([raw[a:b] for a, b in zip(start[lead], end[lead], strict=True)])
+                letters = data[np.repeat(start[lead], size[lead]) + ranges(size[lead])]
+                order = np.argsort(np.concatenate([self.hashes, hashes[new]]), kind="stable")
+                joined = lambda old, fresh: np.concatenate([old, fresh])[order]
+                ends = lambda n: np.cumsum(n) - n
+                self.hashes, self.met = joined(self.hashes, hashes[new]), joined(self.met, times[new])
+                self.spelled = joined(self.spelled[0], len(self.letters) + ends(size[lead])), joined(self.spelled[1], size[lead])
+                self.coded = joined(self.coded[0], len(self.ids) + ends(count)), joined(self.coded[1], count)
+                self.letters, self.ids = np.concatenate([self.letters, letters]), np.concatenate([self.ids, ids])
+                here = np.searchsorted(self.hashes, hashes)
+            begin, count = self.coded[0][here][which], self.coded[1][here][which]
+            ids = self.ids[np.repeat(begin, count) + ranges(count)]
+            if len(self.hashes) > CACHE_WORDS:
+                self.keep(np.sort(np.argsort(-self.met, kind="stable")[: CACHE_WORDS // 2]))
+                self.met >>= 1
+        return ids, np.bincount(row, count, len(at) - 1).astype(np.int64)
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids one after the other, and the number of each text."""
-        if len(self.known) > CACHE_WORDS:
-            self.clear()
-        words = [t.split() for t in texts]
-        flat = list(chain.from_iterable(words))
-        k = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        if new := self.known.new:
-            self.learn(new)
-            self.known.new = []
-        count = self.count[k]
-        ends = np.cumsum(count)
-        index = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[k] - (ends - count), count)
-        total = np.concatenate([[0], ends])
-        bounds = np.concatenate([[0], np.cumsum([len(ws) for ws in words])]).astype(np.int64)
-        return self.store[index], np.diff(total[bounds])
+        return self.encode(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
+
+
+def repacked(place: tuple[np.ndarray, np.ndarray], values: np.ndarray, pick: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """The spans `pick` of `values`, one after the other."""
+    start, size = place[0][pick], place[1][pick]
+    return (np.cumsum(size) - size, size), values[np.repeat(start, size) + ranges(size)]
+
+
+def same_bytes(x: np.ndarray, at: np.ndarray, size: np.ndarray, y: np.ndarray, other_at: np.ndarray, other_size: np.ndarray) -> bool:
+    """Whether the spans of x and y are equal, one by one."""
+    if (size != other_size).any():
+        return False
+    step = ranges(size)
+    return bool((x[np.repeat(at, size) + step] == y[np.repeat(other_at, size) + step]).all())
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -185,7 +216,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, vocabulary: int =
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, before = TaskContext.get().partitionId(), 0, 0
-        code = encode or encoder(tokenizer)
+        code = None if encode else encoder(tokenizer)
         keys, counts, chunks = [], [], []
 
         def close():
@@ -199,8 +230,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, vocabulary: int =
 
         for batch in batches:
             for rows, data, at in steps([batch], size=STEP):
-                raw = data.tobytes()
-                ids, n = code([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
+                if encode:
+                    raw = data.tobytes()
+                    ids, n = encode([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)])
+                else:
+                    ids, n = code.encode(data, at)
                 if end_id is not None:
                     ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
                 keys += rows.column(0).to_pylist()
