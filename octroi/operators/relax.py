@@ -3,9 +3,9 @@
 A state row is a (search, node) with one cost column for each of the search's lanes (weightings) and the round
 in which that cost was found. A round joins the rows improved last to the moves, takes the least candidate of
 each lane in one hash aggregation (all columns are primitive, so it combines on the map side), and looks these
-up in the state: only improvements are written. The state lies in fixed buckets by (search, node) as a large
-table and a small one of recent improvements, so a round exchanges the frontier and its candidates and never the
-state; the small table is folded into the large one when it has grown to a quarter of it.
+up in the state: only improvements are written. The state lies in fixed buckets by (search, node), beside the
+improvements of the last few rounds, so a round exchanges the frontier, its candidates and these improvements
+and never the state; they are folded into it when they have grown to a quarter of it.
 
 Costs are replaced only by lesser ones, so of ways of equal cost the one of the fewest moves stays. No way is
 carried along: a row's last move is the one whose start has, in its lane, exactly the cost that with the move's
@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from octroi.session import bucketed, written
 
 FAN_ROWS = 50_000
-#: The recent table is folded into the state once it has this share of its rows.
+#: Improvements are folded into the state once they have this share of its rows …
 FOLD_AT = 0.25
+#: … or is made of so many rounds' improvements.
+FOLD_TABLES = 6
 
 #: Increment of lane k over a joined (state, context, move) row; null where the move can't be used.
 Increment = Callable[[int], Column]
@@ -64,7 +66,7 @@ def relax(
     lanes: int = 1,
     context: DataFrame | None = None,
     on: list[str] | None = None,
-    limit: Callable[[DataFrame], DataFrame] | None = None,
+    limit: Callable[[DataFrame, bool], DataFrame | None] | None = None,
     capped: bool = False,
     fan_rows: int = FAN_ROWS,
 ) -> DataFrame:
@@ -72,8 +74,9 @@ def relax(
 
     seeds: keys, node and c0 … (null: the lane doesn't start there). moves: node, to_node, kind (0..7)
     and what the increments need. `context` holds per-search constants by `keys`. `on` names the columns
-    that tie a state to its moves. `limit(improved)` may give (keys, b0 …): costs above it can lead nowhere that
-    matters, and are dropped. capped: the context itself holds b0 …, for good.
+    that tie a state to its moves. `limit(improved, due)` is told of all improvements, and gives (keys, b0 …): costs
+    above it can lead nowhere that matters, and are dropped; it need look anew only where `due`. capped: the context
+    itself holds b0 …, for good.
     """
     on = on or ["node"]
     c, h, row = costs(lanes), rounds(lanes), [*keys, "node"]
@@ -82,52 +85,61 @@ def relax(
     none = F.coalesce(*c).isNull()
     start = seeds.groupBy(*row).agg(*(F.min(k).alias(k) for k in c)).where(~none).join(degree, on, "left").withColumn("fan", F.coalesce("fan", F.lit(0)))
     improved = written(start, "frontier")
-    (state, plain), recent, recent_plain, n = bucketed(improved.select(*row, *c, *(F.when(F.col(k).isNotNull(), 0).alias(g) for k, g in zip(c, h, strict=True))), "state", row), None, None, 0
-    state_rows = plain.count()
+    at_round = lambda df, n: df.select(*row, *c, *(F.when(F.col(k).isNotNull(), n).alias(g) for k, g in zip(c, h, strict=True)))
+    (state, plain), recent, n = bucketed(at_round(improved, 0), "state", row), [], 0
+    size = improved.agg(F.count("*").alias("rows"), F.count_if(F.col("fan") > 0).alias("front")).first()
+    state_rows, recent_rows, bounds = size["rows"], 0, None
+    most = F.lit(float("inf"))
 
-    def fold(parts: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    def together(parts: list[DataFrame]) -> DataFrame:
         """A later cost of a row is always less than its earlier ones."""
         every = parts[0]
         for p in parts[1:]:
             every = every.unionByName(p)
-        return bucketed(every.groupBy(*row).agg(*(F.min(k).alias(k) for k in c), *(F.max(g).alias(g) for g in h)), "state", row)
+        return every.groupBy(*row).agg(*(F.min(k).alias(k) for k in c), *(F.max(g).alias(g) for g in h))
 
-    while not improved.where("fan > 0").isEmpty():
-        n += 1
-        front, bounded = improved.where("fan > 0"), capped
-        constants = context
+    while size["front"]:
         if limit is not None:
-            bounds = limit(improved)
-            constants, bounded = bounds if constants is None else constants.join(bounds, keys, "left"), True
+            bounds = limit(improved, n & (n - 1) == 0)  # bounds only get tighter, so older ones hold too
+        n += 1
+        front, bounded = improved.where("fan > 0"), capped or bounds is not None
+        constants = bounds if context is None else context if bounds is None else context.join(bounds, keys, "left")
         visits = front.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("fan") - 1))).drop("fan")
         if constants is not None:
             visits = visits.join(constants, keys, "left")
-        within = lambda k, v: F.when(F.col(f"b{k}").isNull() | (v <= F.col(f"b{k}")), v) if bounded else v  # noqa: B023, E731
         if bounded:
-            visits = visits.withColumns({c[k]: within(k, F.col(c[k])) for k in range(lanes)}).where(~none)
+            visits = visits.withColumns({k: F.when(F.col(k) <= F.coalesce(f"b{i}", most), F.col(k)) for i, k in enumerate(c)}).where(~none)
         reached = visits.join(table, [*on, "salt"]).select(
-            *keys, F.col("to_node").alias("node"), *(within(k, F.col(c[k]) + increment(k)).alias(f"n{k}") for k in range(lanes)), "fan"
+            *keys, F.col("to_node").alias("node"), *((F.col(k) + increment(i)).alias(f"n{i}") for i, k in enumerate(c)), "fan"
         )
         found = reached.groupBy(*row).agg(*(F.min(f"n{k}").alias(f"n{k}") for k in range(lanes)), F.max("fan").alias("fan"))
         known = [state.select(*row, *(F.col(k).alias(f"s{k}") for k in c))]
-        if recent is not None:
-            known.append(recent.select(*row, *(F.col(k).alias(f"r{k}") for k in c)))
+        if recent:
+            known.append(together(recent).select(*row, *(F.col(k).alias(f"r{k}") for k in c)))
+        if bounded:
+            known.append(constants.select(*keys, *(f"b{k}" for k in range(lanes))))
         for k in known:
-            found = found.join(k, row, "left")
-        old = lambda k: F.least(f"sc{k}", f"rc{k}") if recent is not None else F.col(f"sc{k}")  # noqa: B023, E731
-        better = (F.when(old(k).isNull() | (F.col(f"n{k}") < old(k)), F.col(f"n{k}")).alias(c[k]) for k in range(lanes))
+            found = found.join(k, [x for x in row if x in k.columns], "left")
+        better = []
+        for k in range(lanes):
+            old = F.least(most, *(F.coalesce(x, most) for x in (f"sc{k}", f"rc{k}") if x in found.columns))
+            fits = F.col(f"n{k}") < old
+            if bounded:
+                fits = fits & (F.col(f"n{k}") <= F.coalesce(f"b{k}", most))
+            better.append(F.when(fits, F.col(f"n{k}")).alias(c[k]))
         improved = written(found.select(*row, *better, "fan").where(~none), "frontier")
-        now = improved.select(*row, *c, *(F.when(F.col(k).isNotNull(), n).alias(g) for k, g in zip(c, h, strict=True)))
-        recent, recent_plain = fold([now] if recent is None else [recent_plain, now])
-        if recent_plain.count() > FOLD_AT * state_rows:
-            (state, plain), recent = fold([plain, recent_plain]), None
-            state_rows = plain.count()
-    return state if recent is None else fold([plain, recent_plain])[0]
+        size = improved.agg(F.count("*").alias("rows"), F.count_if(F.col("fan") > 0).alias("front")).first()
+        recent.append(at_round(improved, n))
+        recent_rows += size["rows"]
+        if recent_rows > FOLD_AT * state_rows or len(recent) >= FOLD_TABLES:
+            (state, plain), recent = bucketed(together([plain, *recent]), "state", row), []
+            state_rows, recent_rows = plain.count(), 0
+    return together([plain, *recent]) if recent else plain
 
 
 def of_lane(names: list[str], lane: str = "lane") -> Column:
     """The value of the lane that the row names, from its columns for all lanes."""
-    return F.array(*names).getItem(F.col(lane))
+    return F.array(*names)[F.col(lane)]
 
 
 def ways_back(
@@ -139,38 +151,37 @@ def ways_back(
     lanes: int = 1,
     context: DataFrame | None = None,
     on: list[str] | None = None,
-    carry: tuple[str, ...] = (),
+    carry: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """The last move of every row on the way to a wanted one: keys, lane, node, prev, kind, `carry` of the move.
+    """The last move of every row on the way to a wanted one: keys, lane, node, prev, kind, `carry` of the move's row.
 
-    wanted: keys, node, lane. Rows are looked at once each however many ways pass them, from the
-    most moves down, and leave when they are done; rows at a seed have no last move.
+    wanted: keys, node, lane. Rows are looked at once each however many ways pass them; rows at a seed
+    have no last move.
     """
-    on = on or ["node"]
+    on, carry = on or ["node"], carry or {}
     others = [x for x in on if x != "node"]
     at = [*keys, "lane", "node"]
     values = state.select(*keys, "node", *costs(lanes), *rounds(lanes))
     rows = wanted.select(*at).distinct().join(values, [*keys, "node"])
-    rows = written(rows.select(*at, of_lane(costs(lanes)).alias("cost"), of_lane(rounds(lanes)).alias("moves")).where("moves > 0"), "wanted")
+    rows = rows.select(*at, of_lane(costs(lanes)).alias("cost"), of_lane(rounds(lanes)).alias("moves")).where("moves > 0")
     arrivals = moves.withColumnRenamed("node", "from_node").withColumnRenamed("to_node", "node").select(*others, "node", "from_node", *(x for x in moves.columns if x not in ("node", "to_node", *others)))
     start = values.withColumnRenamed("node", "from_node")
-    links = []
-    level = rows.agg(F.max("moves")).first()[0]
-    while level:
-        here = rows.where(F.col("moves") == level)
-        if context is not None:
-            here = here.join(context, keys)
+    links: list[DataFrame] = []
+    while True:
+        here = rows if context is None else rows.join(context, keys)
         met = here.join(arrivals, [*others, "node"]).join(start, [*keys, "from_node"])
-        before, step = of_lane(costs(lanes)), F.array(*(increment(k) for k in range(lanes))).getItem(F.col("lane"))
-        best = F.min(F.struct(of_lane(rounds(lanes)).alias("before_moves"), (F.col("from_node") * 8 + F.col("kind")).alias("via"), before.alias("before"), *(F.col(x).alias(x) for x in carry)))
-        link = written(met.where(before + step == F.col("cost")).groupBy(*at).agg(best.alias("m")).select(*at, F.floor(F.col("m.via") / 8).alias("prev"), F.pmod(F.col("m.via"), F.lit(8)).cast("int").alias("kind"), "m.*"), "links")
+        before, step = of_lane(costs(lanes)), F.array(*(increment(k) for k in range(lanes)))[F.col("lane")]
+        best = F.min(F.struct(of_lane(rounds(lanes)).alias("before_moves"), (F.col("from_node") * 8 + F.col("kind")).alias("via"), before.alias("before"), *(x.alias(name) for name, x in carry.items())))
+        link = met.where(before + step == F.col("cost")).groupBy(*at).agg(best.alias("m"))
+        link = written(link.select(*at, F.floor(F.col("m.via") / 8).alias("prev"), F.pmod(F.col("m.via"), F.lit(8)).cast("int").alias("kind"), "m.*"), "links")
+        if link.isEmpty():
+            break
         links.append(link.select(*at, "prev", "kind", *carry))
-        further = link.where("before_moves > 0").select(*keys, "lane", F.col("prev").alias("node"), F.col("before").alias("cost"), F.col("before_moves").alias("moves"))
-        rows = written(rows.where(F.col("moves") < level).unionByName(further).distinct(), "wanted")
-        level = rows.agg(F.max("moves")).first()[0]
+        rows = link.where("before_moves > 0").select(*keys, "lane", F.col("prev").alias("node"), F.col("before").alias("cost"), F.col("before_moves").alias("moves")).distinct()
+        for known in links:
+            rows = rows.join(known.select(*at), at, "left_anti")
     if not links:
-        kinds = dict(moves.dtypes)
-        return rows.select(*at, F.lit(None).cast("bigint").alias("prev"), F.lit(None).cast("int").alias("kind"), *(F.lit(None).cast(kinds[x]).alias(x) for x in carry)).limit(0)
+        return link.select(*at, "prev", "kind", *carry)
     every = links[0]
     for link in links[1:]:
         every = every.unionByName(link)

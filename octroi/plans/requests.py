@@ -66,19 +66,21 @@ def weighted(toll, metres, seconds):
     return F.col("k_toll") * toll + F.col("k_m") * metres + F.col("k_s") * seconds
 
 
-#: Weightings of an origin and class that are searched together, as lanes of one row.
-LANES = 12
+#: Most weightings of an origin and class that are searched together, as lanes of one row.
+LANES = 8
 BUNDLE = ["origin_id", "vehicle_class", "bundle"]
 FACTORS = ["k_toll", "k_m", "k_s"]
 
 
-def bundles(search: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bundles of up to LANES weightings with a column for each lane's factors, and the lane of each search."""
+def bundles(search: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Bundles of weightings with a column for each lane's factors, the lane of each search, and the number of lanes."""
+    most = search.groupBy("origin_id", "vehicle_class").count().agg(F.max("count")).first()[0] or 1
+    lanes = -(-most // -(-most // LANES))
     number = F.row_number().over(Window.partitionBy("origin_id", "vehicle_class").orderBy("mode")) - 1
-    lanes = search.withColumn("_n", number).withColumns({"bundle": F.floor(F.col("_n") / LANES).cast("int"), "lane": F.col("_n") % LANES})
+    laned = search.withColumn("_n", number).withColumns({"bundle": F.floor(F.col("_n") / lanes).cast("int"), "lane": F.col("_n") % lanes})
     of = lambda k, c: F.max(F.when(F.col("lane") == k, F.col(c))).alias(f"{c}_{k}")
-    wide = lanes.groupBy(*BUNDLE).agg(*(of(k, c) for k in range(LANES) for c in FACTORS))
-    return wide, lanes.select(*BUNDLE, "lane", *[c for c in search.columns if c not in BUNDLE])
+    wide = laned.groupBy(*BUNDLE).agg(*(of(k, c) for k in range(lanes) for c in FACTORS))
+    return written(wide, "bundles"), written(laned.select(*BUNDLE, "lane", *[c for c in search.columns if c not in BUNDLE]), "lanes"), lanes
 
 
 def lane_cost(k: int, toll, metres, seconds):
@@ -94,8 +96,8 @@ def route_table(groups: DataFrame, classes: DataFrame, legs: DataFrame, moves: D
     """
     search = written(searches(groups, classes), "searches")
     goal = written(targets(groups, search), "targets")
-    wide, laned = bundles(search)
-    wide, laned = written(wide, "bundles"), written(laned, "lanes")
+    wide, laned, lanes = bundles(search)
+    moves = written(moves, "moves")
     # Exit legs are shaped by gate once and read in every round.
     exits = written(
         legs.where("direction = 'exit'").select(
@@ -114,35 +116,37 @@ def route_table(groups: DataFrame, classes: DataFrame, legs: DataFrame, moves: D
         "entries",
     )
     zero = F.lit(0.0)
-    each = range(LANES)
+    each = range(lanes)
     seeds = wide.join(entry, "origin_id").select(*BUNDLE, "node", *(lane_cost(k, zero, F.col("m"), F.col("s")).alias(f"c{k}") for k in each))
     toll = F.element_at("tolls", F.col("vehicle_class").cast("int"))
     step = lambda k: lane_cost(k, toll, F.col("e_m"), F.col("e_s"))
     leave = lambda k: F.col(f"c{k}") + lane_cost(k, zero, F.col("x_m"), F.col("x_s"))
-    met: list[DataFrame] = []  # the least cost at each destination so far, one table
+    met: list[DataFrame] = []  # costs at destinations: the least so far, then those of the rounds since
+    bounds: list[DataFrame] = []
 
-    def limit(improved: DataFrame) -> DataFrame:
+    def limit(improved: DataFrame, due: bool) -> DataFrame | None:
         """Cost of the dearest destination in each lane, once it has met them all; from the improved rows alone."""
-        found = improved.join(exits, "node").join(wide, BUNDLE).select(*BUNDLE, "destination_id", *(leave(k).alias(f"c{k}") for k in each))
-        every = found if not met else met.pop().unionByName(found)
-        met.append(written(every.groupBy(*BUNDLE, "destination_id").agg(*(F.min(f"c{k}").alias(f"c{k}") for k in each)), "met"))
-        all_met = (F.when(F.count(f"c{k}") == F.count(F.lit(1)), F.max(f"c{k}")).alias(f"b{k}") for k in each)
-        return aims.join(met[0], [*BUNDLE, "destination_id"], "left").groupBy(*BUNDLE).agg(*all_met)
-
-    state = relax(seeds, moves, BUNDLE, step, LANES, context=wide, limit=limit)
+        found = improved.join(exits, "node").join(wide, BUNDLE)
+        met.append(found.select(*BUNDLE, "destination_id", *(leave(k).alias(f"c{k}") for k in each)))
+        if due:
+            every = met[0]
+            for m in met[1:]:
+                every = every.unionByName(m)
+            met[:] = [written(every.groupBy(*BUNDLE, "destination_id").agg(*(F.min(f"c{k}").alias(f"c{k}") for k in each)), "met")]
+            all_met = (F.when(F.count(f"c{k}") == F.count(F.lit(1)), F.max(f"c{k}")).alias(f"b{k}") for k in each)
+            bounds[:] = [written(aims.join(met[0], [*BUNDLE, "destination_id"], "left").groupBy(*BUNDLE).agg(*all_met), "bounds")]
+        return bounds[0]
+
+    state = relax(seeds, moves, BUNDLE, step, lanes, context=wide, limit=limit)
     last = lambda k: F.min(F.when(leave(k).isNotNull(), F.struct(leave(k).alias("cost"), "node", F.col("x_m").alias("last_m"), F.col("x_s").alias("last_s"))))
     ends = state.join(exits, "node").join(wide, BUNDLE).join(aims, [*BUNDLE, "destination_id"], "left_semi")
     ends = ends.groupBy(*BUNDLE, "destination_id").agg(F.array(*(last(k) for k in each)).alias("r"))
     best = ends.select(*BUNDLE, "destination_id", F.posexplode("r").alias("lane", "r")).where("r is not null").select(*BUNDLE, "destination_id", "lane", "r.*")
     best = written(best.join(laned, [*BUNDLE, "lane"]).join(goal, [*SEARCH, "destination_id"], "left_semi"), "ends")
-    increments = (toll.alias("toll"), F.col("e_m"), F.col("e_s"))
-    of_class = F.explode(F.array(*(F.lit(i) for i in range(1, 6)))).alias("vehicle_class")
-    priced_moves = moves.select("node", "to_node", "kind", "e_m", "e_s", "tolls", of_class).select("node", "to_node", "kind", "vehicle_class", *increments).where("toll is not null")
-    leg = lambda k: lane_cost(k, F.col("toll"), F.col("e_m"), F.col("e_s"))
-    carry = ("toll", "e_m", "e_s")
-    links = ways_back(best.select(*BUNDLE, "lane", "node"), state, priced_moves, BUNDLE, leg, LANES, context=wide, on=["vehicle_class", "node"], carry=carry)
+    carry = {"toll": toll, "e_m": F.col("e_m"), "e_s": F.col("e_s")}
+    links = ways_back(best.select(*BUNDLE, "lane", "node"), state, moves, BUNDLE, step, lanes, context=wide, carry=carry)
     links = written(links, "ways-back")
-    walked = walk(best.select(*BUNDLE, "lane", "node"), links, BUNDLE, carry)
+    walked = walk(best.select(*BUNDLE, "lane", "node"), links, BUNDLE, tuple(carry))
     found = best.join(walked, [*BUNDLE, "lane", "node"])
     seed = entry.withColumnRenamed("node", "_seed")
     found = found.withColumn("_seed", F.col("path")[0]["node"]).join(seed, ["origin_id", "_seed"])

@@ -118,25 +118,28 @@ SELECT CAST(c_custkey AS BIGINT) AS place_id, c_name AS place_name, CAST(c_natio
 FROM {customer}
 """
 
+# Depots where requests begin and end: a few, and one more for every hundred suppliers.
+HUB_COUNT = "SELECT 5 + CAST(floor(count(*) / 100.0) AS BIGINT) AS n FROM {supplier}"
 HUBS = """
-SELECT CAST(n_nationkey AS BIGINT) AS hub_id, n_name AS hub_name,
-  CAST(4300000 + n_nationkey * 29119 % 700000 AS DOUBLE) / 100000 AS lat,
-  CAST(100000 + n_nationkey * 14771 % 500000 AS DOUBLE) / 100000 AS lon
-FROM {nation}
+SELECT hub_id, 'DEPOT ' || CAST(hub_id AS STRING) AS hub_name,
+  CAST(4300000 + hub_id * 29119 % 700000 AS DOUBLE) / 100000 AS lat,
+  CAST(100000 + hub_id * 14771 % 500000 AS DOUBLE) / 100000 AS lon
+FROM (SELECT DISTINCT CAST(c_custkey % (SELECT n FROM {hub_count}) AS BIGINT) AS hub_id FROM {customer})
 """
 
+# Every order is a request of its customer's depot, in any of the five classes.
 REQUESTS = """
-SELECT CAST(o_orderkey AS BIGINT) AS request_id, CAST(c_nationkey AS BIGINT) AS origin_id,
-  CAST((c_nationkey * 3 + o_orderkey % 4 * 7) % 25 AS BIGINT) AS destination_id,
-  CAST(1 + c_nationkey % 5 AS INT) AS vehicle_class,
+SELECT CAST(o_orderkey AS BIGINT) AS request_id, CAST(o_custkey % (SELECT n FROM {hub_count}) AS BIGINT) AS origin_id,
+  CAST((o_custkey * 3 + o_orderkey % 4 * 7) % (SELECT n FROM {hub_count}) AS BIGINT) AS destination_id,
+  CAST(1 + o_orderkey % 5 AS INT) AS vehicle_class,
   CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(25 + o_orderkey % 2 * 40 AS DOUBLE) / 2 END AS vot
-FROM {orders} JOIN {customer} ON c_custkey = o_custkey
+FROM {orders}
 """
 
-# Each hub reaches the gates of its own nation and of the next one.
+# A gate is reached from two depots.
 HUB_GATES = """
-SELECT nation_id AS hub_id, gare_id FROM {gates} WHERE lat IS NOT NULL
-UNION ALL SELECT nation_id - 1 AS hub_id, gare_id FROM {gates} WHERE lat IS NOT NULL AND nation_id > 0
+SELECT CAST(gare_id % (SELECT n FROM {hub_count}) AS BIGINT) AS hub_id, gare_id FROM {gates} WHERE lat IS NOT NULL
+UNION SELECT CAST((gare_id * 7 + 3) % (SELECT n FROM {hub_count}) AS BIGINT) AS hub_id, gare_id FROM {gates} WHERE lat IS NOT NULL
 """
 _ACCESS_SIDE = """
 SELECT hub_id, gare_id, '%s' AS direction,
@@ -179,7 +182,7 @@ FROM {events}
 
 TEXTS = {
     "gates": GATES, "fare_keys": FARE_KEYS, "base_fares": BASE_FARES, "fares": FARES, "points": POINTS, "legs": LEGS, "pois": POIS,
-    "places": PLACES, "hubs": HUBS, "requests": REQUESTS, "hub_gates": HUB_GATES, "access": ACCESS, "anchors": ANCHORS,
+    "places": PLACES, "hub_count": HUB_COUNT, "hubs": HUBS, "requests": REQUESTS, "hub_gates": HUB_GATES, "access": ACCESS, "anchors": ANCHORS,
     "numbered_events": NUMBERED_EVENTS, "vertices": VERTICES,
 }
 

@@ -38,7 +38,7 @@ def test_relax_matches_dijkstra_in_every_lane_with_salted_hot_node(spark):
     assert got == want
     # the way of fewest moves among the cheapest ones, then of the least starts, last move first
     heads = state.selectExpr("src", "node", "posexplode(array(c0, c1)) as (lane, c)").where("c is not null").drop("c")
-    links = ways_back(heads, state, moves, ["src"], increment, lanes=2, carry=("u",))
+    links = ways_back(heads, state, moves, ["src"], increment, lanes=2, carry={"u": F.col("u")})
     for r in walk(heads, links, ["src"], ("u",)).collect():
         graph, cost = graphs[r["lane"]], lambda n, r=r: want.get((r["src"], n, r["lane"]))
         hops = fewest_moves(graph, cost, r["src"])
