@@ -166,17 +166,21 @@ view(
     "pp",
     "SELECT operator, from_gare_id AS f, to_gare_id AS t, arg_max(class1, row_id) AS direct, min(class1) AS w FROM {fares} WHERE class1 <> 0 AND from_gare_id <> to_gare_id GROUP BY ALL",
 )
-_ROUNDS = 14
-view("chain_1", "SELECT operator, f, t, w AS price FROM {pp}")
-for _i in range(2, _ROUNDS + 1):
-    view(
-        f"chain_{_i}",
-        f"SELECT operator, f, t, min(price) AS price FROM (SELECT * FROM {{chain_{_i - 1}}} UNION ALL SELECT c.operator, c.f, p.t, c.price + p.w FROM {{chain_{_i - 1}}} c JOIN {{pp}} p ON p.operator = c.operator AND p.f = c.t WHERE p.t <> c.f) GROUP BY ALL",
-    )
-_LAST = f"chain_{_ROUNDS}"
+# One row a (source, gate); a round reads what the last one improved, and equal prices don't replace, so shorter chains stay.
+view(
+    "op_chains",
+    """USING KEY operator, f, t OF operator, f, t, v
+  SELECT operator, f, t, struct_pack(price := w, h := 1::BIGINT, last := f, via := []::BIGINT[]) AS v FROM {pp}
+  UNION ALL
+  SELECT c.* FROM (
+    SELECT c.operator, c.f, p.t, min(struct_pack(price := v.price + p.w, h := v.h + 1, last := p.f, via := list_append(v.via, p.f))) AS v
+    FROM sv_op_chains c JOIN {pp} p ON p.operator = c.operator AND p.f = c.t WHERE p.t <> c.f GROUP BY ALL) c
+  LEFT JOIN recurring.sv_op_chains o ON o.operator = c.operator AND o.f = c.f AND o.t = c.t
+  WHERE o.v IS NULL OR c.v.price < o.v.price""",
+)
 
 
-@query("min_plus_closure", f"SELECT operator, f AS source, t AS target, round(price, 6) AS price FROM {{{_LAST}}}")
+@query("min_plus_closure", "SELECT operator, f AS source, t AS target, round(v.price, 6) AS price FROM {op_chains}")
 def _(x):
     c, _ = undercut.min_plus_closure(undercut.priced_pairs(x.fares))
     return c.select("operator", "source", "target", r("price", 6))
@@ -184,22 +188,22 @@ def _(x):
 
 view(
     "under",
-    f"SELECT *, price < direct - greatest(0.05, direct * 0.5 / 100) AS undercut FROM (SELECT p.operator, p.f, p.t, p.direct, c.price FROM {{pp}} p JOIN {{{_LAST}}} c ON c.operator = p.operator AND c.f = p.f AND c.t = p.t)",
+    "SELECT *, price < direct - greatest(0.05, direct * 0.5 / 100) AS undercut FROM (SELECT p.operator, p.f, p.t, p.direct, c.v.price AS price, c.v.h AS h, c.v.via AS via FROM {pp} p JOIN {op_chains} c ON c.operator = p.operator AND c.f = p.f AND c.t = p.t)",
 )
 
 
 @query(
     "undercut_audit",
-    "SELECT operator, f AS from_gare_id, t AS to_gare_id, direct, round(price, 6) AS chain_price, undercut, round(CASE WHEN undercut THEN (direct - price) / direct * 100 ELSE 0 END, 6) AS undercut_pct FROM {under}",
+    "SELECT operator, f AS from_gare_id, t AS to_gare_id, direct, round(price, 6) AS chain_price, undercut, round(CASE WHEN undercut THEN (direct - price) / direct * 100 ELSE 0 END, 6) AS undercut_pct, CASE WHEN undercut THEN h END AS path_hops, CASE WHEN undercut THEN array_to_string(via, ',') END AS via FROM {under}",
 )
 def _(x):
     a = undercut.undercut_audit(x.fares)
-    return a.select("operator", "from_gare_id", "to_gare_id", "direct", r("chain_price", 6), "undercut", r("undercut_pct", 6))
+    return a.select("operator", "from_gare_id", "to_gare_id", "direct", r("chain_price", 6), "undercut", r("undercut_pct", 6), F.col("path_hops").cast("bigint").alias("path_hops"), F.array_join(F.col("via").cast("array<string>"), ",").alias("via"))
 
 
 @query("undercut_summary", "SELECT operator, count(*) AS n_pairs, count(*) FILTER (undercut) AS n_undercut FROM {under} GROUP BY operator")
 def _(x):
-    return undercut.undercut_summary(undercut.undercut_audit(x.fares))
+    return undercut.undercut_summary(undercut.undercut_judged(x.fares)[0])
 
 
 view("worst", "SELECT * FROM (SELECT *, (direct - price) / direct * 100 AS pct, row_number() OVER (PARTITION BY operator ORDER BY (direct - price) / direct * 100 DESC, f, t) AS rn FROM {under} WHERE undercut) WHERE rn <= 3 ORDER BY pct DESC, operator, f, t LIMIT 13")
@@ -211,5 +215,5 @@ view("worst", "SELECT * FROM (SELECT *, (direct - price) / direct * 100 AS pct,
   UNION ALL SELECT operator, f, t, direct, undercut FROM (SELECT *, row_number() OVER (ORDER BY direct DESC, operator, f, t) AS k FROM {under} WHERE NOT undercut) WHERE k <= 16 - (SELECT count(*) FROM {worst})""",
 )
 def _(x):
-    s = undercut.undercut_sample(undercut.undercut_audit(x.fares))
+    s = undercut.undercut_sample(undercut.undercut_judged(x.fares)[0])
     return s.select("operator", "from_gare_id", "to_gare_id", "direct", "undercut")

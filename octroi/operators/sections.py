@@ -21,32 +21,38 @@ VOTS = (5.0, 10.0, 20.0, 40.0)
 SECTION = ["route_id", "section_no"]
 
 
-def along_route_spacing(hits: DataFrame, min_m: float = SPACING_M) -> DataFrame:
-    """Gates kept along each route: the next one lies at least `min_m` after the last one kept.
+def next_kept(places: DataFrame, min_m: float) -> DataFrame:
+    """route_id, along_m, next_m: where the rule goes on after each place that is kept, within its run of bins.
 
-    Each choice depends on the one before, but a bin of `min_m` without gates always restarts the
-    rule. So routes fall apart into runs of neighbouring bins, each folded on its own; gates at
-    one position are reduced to the first before that.
+    In bins of `min_m`, the first place at least `min_m` on lies in the next bin or is the first of the one behind
+    that. After an empty bin the rule begins anew, so a place before one leads nowhere.
     """
-    first = hits.groupBy("route_id", "along_m").agg(F.min("gare_id").alias("gare_id")).withColumn(
-        "_bin", F.floor(F.col("along_m") / min_m)
-    )
-    bins = first.select("route_id", "_bin").distinct()
-    numbered = row_positions(bins, ["route_id"], ["_bin"], F.floor(F.col("_bin") / 256), "_k")
-    runs = numbered.select("route_id", "_bin", (F.col("_bin") - F.col("_k")).alias("_run"))
-    empty = F.array().cast("array<struct<along_m:double,gare_id:bigint>>")
+    bins = places.groupBy("route_id", "bin").agg(F.min("along_m").alias("head"))
+    ahead = places.select("route_id", (F.col("bin") - 1).alias("bin"), F.col("along_m").alias("ahead_m"))
+    near = places.join(ahead, ["route_id", "bin"]).groupBy("route_id", "bin", "along_m").agg(F.min(F.when(F.col("ahead_m") - F.col("along_m") >= min_m, F.col("ahead_m"))).alias("near_m"))
+    behind = bins.select("route_id", (F.col("bin") - 2).alias("bin"), F.col("head").alias("far_m"))
+    found = near.join(behind, ["route_id", "bin"], "left").select("route_id", "along_m", F.coalesce("near_m", "far_m").alias("next_m"))
+    return found.where("next_m is not null")
 
-    def keep(acc, v):
-        last = F.try_element_at(acc, F.lit(-1))
-        return F.when((F.size(acc) > 0) & (v["along_m"] - last["along_m"] < min_m), acc).otherwise(F.concat(acc, F.array(v)))
 
-    return (
-        first.join(runs, ["route_id", "_bin"])
-        .groupBy("route_id", "_run")
-        .agg(F.array_sort(F.collect_list(F.struct("along_m", "gare_id"))).alias("_g"))
-        .select("route_id", F.explode(F.aggregate("_g", empty, keep)).alias("v"))
-        .select("route_id", "v.gare_id", "v.along_m")
-    )
+def along_route_spacing(hits: DataFrame, min_m: float = SPACING_M) -> DataFrame:
+    """Gates kept along each route: the next one lies at least `min_m` after the last one kept.
+
+    Each choice depends on the one before, but only through where it leads: every place has one that follows it
+    if it is kept, so what is kept is what the starts of the runs reach. Pointers are doubled until none
+    is left; the rounds grow with the logarithm of the longest run. Gates at one place are reduced to the first.
+    """
+    first = hits.groupBy("route_id", "along_m").agg(F.min("gare_id").alias("gare_id"))
+    first = written(first.withColumn("bin", F.floor(F.col("along_m") / min_m)), "places")
+    bins = first.groupBy("route_id", "bin").agg(F.min("along_m").alias("along_m"))
+    reached = bins.join(bins.select("route_id", (F.col("bin") + 1).alias("bin")), ["route_id", "bin"], "left_anti").select("route_id", "along_m")
+    jump = written(next_kept(first, min_m), "next-kept")
+    while not jump.isEmpty():
+        further = reached.join(jump, ["route_id", "along_m"]).select("route_id", F.col("next_m").alias("along_m"))
+        reached = written(reached.unionByName(further), "kept-places")
+        beyond = jump.select("route_id", F.col("along_m").alias("next_m"), F.col("next_m").alias("beyond_m"))
+        jump = written(jump.join(beyond, ["route_id", "next_m"]).select("route_id", "along_m", F.col("beyond_m").alias("next_m")), "next-kept")
+    return first.join(reached, ["route_id", "along_m"]).select("route_id", "gare_id", "along_m")
 
 
 def numbered_gates(kept: DataFrame) -> DataFrame:
