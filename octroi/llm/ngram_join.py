@@ -15,11 +15,14 @@ at the end of one prefix is unlikely to be backed by the other two.
 2. Prefixes. A step that has its answers takes each document's prefixes. Tokens of a single document come
    first in all orders, so a document that has enough of them meets nobody and has no prefix to store.
 3. Candidates. Documents of equal sets are one class, which goes on as its least doc_id. In the first
-   order, the classes that hold a prefix token form its bucket. All of a bucket meet its least member. Where the
-   others still belong to several components, they are compared in tiles: blocks of `TILE` members against
-   blocks, each pair of blocks in a task of its own, by products of the 0/1 matrices of their other two
-   prefixes; only pairs of different components that pass leave a tile.
-4. Pairs that pass all orders, tested on the whole prefixes, are verified on full sets of 64-bit hashes.
+   order, the classes that hold a prefix token form its bucket. In each of the first rounds a bucket's members of
+   other components meet one of its members, another one in each bucket. Buckets that still hold several components
+   are then compared in tiles: blocks of `TILE` members against blocks, each pair of blocks in a task of its own,
+   by products of the 0/1 matrices of their other two prefixes; only pairs of different components that pass leave
+   a tile.
+4. Pairs that pass all orders, tested on the whole prefixes, are verified on full sets of 64-bit hashes. A tile
+   looks at the parities of the sets first: each bit in which they differ stands for at least one token that only
+   one of the two sets has, so a pair with too many is not similar enough.
 
 Nothing is capped: a pair that isn't compared is known to be in one component, to be of too different sizes, or
 to fail an order.
@@ -51,6 +54,8 @@ SHINGLE, LEAST = 4, 85
 STEP, BUCKET = 2 << 20, 4 << 20
 #: Members of a block, and tokens of a prefix that travel to a tile; longer prefixes are told apart afterwards.
 TILE, CARRIED = 128, 64
+#: Seeds of the rounds in which a bucket meets one of its members; bits of a set's parities.
+ROUNDS, PARITY_BITS = (1, 2), 2048
 #: Right shift of a binary magnitude for each order (None: the number itself), and its tie-breaking seed.
 ORDERS = ((None, 0x9E3779B97F4A7C15), (0, 0xC2B2AE3D27D4EB4F), (1, 0x165667B19E3779F9))
 #: How a step's own record begins: its documents, and its tokens of several documents.
@@ -202,17 +207,23 @@ def prefixes(answered: DataFrame, least: int) -> DataFrame:
     return answered.repartition("step").sortWithinPartitions("step").mapInArrow(take, PREFIXED)
 
 
+def parities(values: np.ndarray) -> bytes:
+    """For each of PARITY_BITS places whether an odd number of the values falls on it."""
+    place = mix(values ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(PARITY_BITS)
+    return np.packbits(np.bincount(place.astype(np.int64), minlength=PARITY_BITS).astype(np.uint8) & 1).tobytes()
+
+
 def full_sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n, shingles of each row of `docs`."""
+    """doc_id, n, shingles, parity of each row of `docs`."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, at in steps(batches):
             sets = shingles(data, at, size)
             n = np.array([len(s) for s in sets], np.int64)
             flat = np.concatenate(sets).view(np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat))], names=["doc_id", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(flat)), pa.array([parities(s) for s in sets], pa.binary())], names=["doc_id", "n", "shingles", "parity"])
 
-    return docs.mapInArrow(pack, "doc_id long, n long, shingles array<long>")
+    return docs.mapInArrow(pack, "doc_id long, n long, shingles array<long>, parity binary")
 
 
 def similar_size(x: Column, y: Column, least: int) -> Column:
@@ -231,26 +242,32 @@ def met_in_all_orders(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
+    sets = sets.drop("parity")
     joined = pairs.join(renamed(sets, "a"), F.col("a") == F.col("doc_id_a")).join(renamed(sets, "b"), F.col("b") == F.col("doc_id_b"))
     both = F.size(F.array_intersect("shingles_a", "shingles_b"))
     return joined.where(100 * both >= least * (F.col("n_a") + F.col("n_b") - both)).select("a", "b").distinct()
 
 
-def pairs_in_tiles(members: DataFrame, nodes: DataFrame, least: int, tile: int) -> DataFrame:
+def head_pairs(members: DataFrame, seed: int, least: int) -> DataFrame:
+    """a, b: each bucket's members of other components beside one of its members; members: token, doc_id, n, component."""
+    lead = F.struct(F.xxhash64("token", "doc_id", F.lit(seed)).alias("h"), F.col("doc_id").alias("head"), F.col("n").alias("head_n"), F.col("component").alias("head_component"))
+    heads = members.groupBy("token").agg(F.min(lead).alias("m")).select("token", "m.*")
+    met = members.join(heads, "token").where("component <> head_component").where(similar_size(F.col("n"), F.col("head_n"), least))
+    return met.select(F.least("head", "doc_id").alias("a"), F.greatest("head", "doc_id").alias("b")).distinct()
+
+
+def pairs_in_tiles(members: DataFrame, nodes: DataFrame, sets: DataFrame, least: int, tile: int) -> DataFrame:
     """Pairs of different components in a bucket that pass the other orders as far as their prefixes were carried.
 
-    members: token, doc_id, n, component. A bucket's first member has met all others, so a bucket counts only if
-    the others belong to several components.
+    members: token, doc_id, n, component. The two members of a bucket of two have met.
     """
-    heads = members.groupBy("token").agg(F.min("doc_id").alias("head"))
-    others = members.join(heads, "token").where("doc_id <> head").drop("head")
-    open_ = others.groupBy("token").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.count("*").alias("held")).where("l <> h")
+    open_ = members.groupBy("token").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.count("*").alias("held")).where("l <> h and held > 2")
     open_ = open_.select("token", F.ceil(F.col("held") / tile).cast("int").alias("blocks"))
     carried = [F.when(F.size(c) <= CARRIED, F.col(c)).alias(c) for c in ("second", "third")]
-    rows = others.join(open_, "token").join(nodes.select("doc_id", "n", *carried), ["doc_id", "n"])
+    rows = members.join(open_, "token").join(nodes.select("doc_id", "n", *carried), ["doc_id", "n"]).join(sets.select("doc_id", "n", "parity"), ["doc_id", "n"])
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     i, j = F.least("block", "other"), F.greatest("block", "other")
-    dealt = dealt.select(F.xxhash64("token", i, j).alias("tile"), "token", i.alias("i"), j.alias("j"), "block", "doc_id", "n", "component", "second", "third")
+    dealt = dealt.select(F.xxhash64("token", i, j).alias("tile"), "token", i.alias("i"), j.alias("j"), "block", "doc_id", "n", "component", "second", "third", "parity")
 
     def overlap(column: pa.ChunkedArray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """x by y: whether two members' carried prefixes share a token; true for those too long to be carried."""
@@ -275,7 +292,11 @@ def pairs_in_tiles(members: DataFrame, nodes: DataFrame, least: int, tile: int)
                     continue
                 fit &= overlap(u.column("second"), x, y) & overlap(u.column("third"), x, y)
                 p, q = np.nonzero(fit)
-                p, q = doc[x[p]], doc[y[q]]
+                p, q = x[p], y[q]
+                parity = np.frombuffer(b"".join(u.column("parity").to_pylist()), np.uint64).reshape(len(doc), -1)
+                apart = [np.bitwise_count(parity[p[i : i + 4096]] ^ parity[q[i : i + 4096]]).sum(1, dtype=np.int64) for i in range(0, len(p), 4096)]
+                close = (100 + least) * np.concatenate([np.zeros(0, np.int64), *apart]) <= (100 - least) * (n[p] + n[q])
+                p, q = doc[p[close]], doc[q[close]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
     return dealt.repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "a long, b long").distinct()
@@ -298,8 +319,8 @@ def ngram_join(docs: DataFrame, size: int = SHINGLE, least: int = LEAST, tile: i
     known = written(prefixed.select("doc_id", *same).join(of_class, same, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), "nodes")
     nodes = classes.where("first is not null").select(F.col("node").alias("doc_id"), F.col("n_shingles").alias("n"), "first", "second", "third")
     posted = nodes.select(F.explode("first").alias("token"), "doc_id", "n").distinct()
-    shared = posted.groupBy("token").agg(F.count("*").alias("held"), F.min("doc_id").alias("head")).where("held > 1").select("token", "head")
-    members = written(posted.join(shared, "token"), "members")
+    shared = posted.groupBy("token").agg(F.count("*").alias("held")).where("held > 1").select("token")
+    members = written(posted.join(shared, "token").withColumn("component", F.col("doc_id")), "members")
     release(spark)
     wanted = members.select("doc_id").distinct()
     sets = written(full_sets(rows.join(wanted, "doc_id", "left_semi"), size).dropDuplicates(), "sets")
@@ -307,14 +328,14 @@ def ngram_join(docs: DataFrame, size: int = SHINGLE, least: int = LEAST, tile: i
     # rows of one doc_id with several sets tie the classes of these sets together
     several = known.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("h")).where("b <> h").select("doc_id", "b")
     edges = written(known.join(several, "doc_id").select(F.col("node").alias("a"), "b"), "edges")
-    head_n = members.where("doc_id = head").select("token", F.col("n").alias("head_n"))
-    heads = members.where("doc_id <> head").join(head_n, "token").where(similar_size(F.col("n"), F.col("head_n"), least))
-    met = met_in_all_orders(heads.select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), nodes)
-    edges = edges.union(written(verified(met, sets, least), "links"))
-    labels = components(edges).withColumnRenamed("node", "doc_id")
-    labelled = members.drop("head").join(labels, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    met = met_in_all_orders(pairs_in_tiles(written(labelled, "members"), nodes, least, tile), nodes)
-    edges = edges.union(written(verified(met, sets, least), "links"))
+    for k in range(len(ROUNDS) + 1):
+        pairs = head_pairs(members, ROUNDS[k], least) if k < len(ROUNDS) else pairs_in_tiles(members, nodes, sets, least, tile)
+        edges = edges.union(written(verified(met_in_all_orders(pairs, nodes), sets, least), "links"))
+        if k < len(ROUNDS):
+            labels = components(edges).withColumnRenamed("node", "doc_id")
+            labelled = members.drop("component").join(labels, "doc_id", "left")
+            members = written(labelled.withColumn("component", F.coalesce("component", "doc_id")), "members")
+            release(spark)
     labels = components(edges)
     return known.join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "node", "doc_id").alias("component_id"))
 

@@ -67,6 +67,7 @@ def test_small_blocks_and_steps_change_nothing(spark, rows, monkeypatch):
     monkeypatch.setattr(nj, "STEP", 3000)
     monkeypatch.setattr(nj, "BUCKET", 5000)
     monkeypatch.setattr(nj, "CARRIED", 2)
+    monkeypatch.setattr(nj, "ROUNDS", (5,))
     assert joined(spark, rows, tile=3) == brute(rows)
 
 
@@ -76,6 +77,15 @@ def test_entries_survive_packing():
     assert all((a == b).all() for a, b in zip(nj.entries(nj.planes(token, ref, count)), (token, ref, count), strict=True))
 
 
+def test_parities_never_differ_in_more_bits_than_sets_in_tokens():
+    r = np.random.default_rng(4)
+    for n in (5, 300, 5000):
+        pool = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        x, y = pool[: n * 9 // 10], pool[n // 10 :]
+        bits = np.bitwise_count(np.frombuffer(nj.parities(x), np.uint8) ^ np.frombuffer(nj.parities(y), np.uint8)).sum()
+        assert bits <= len(np.setxor1d(x, y))
+
+
 def test_similar_sets_share_prefix_tokens_in_every_order():
     r = np.random.default_rng(2)
     for _ in range(200):
