@@ -189,12 +189,38 @@ def _(x):
     return detailed(x).select(*req.GROUP, joined("chain", ",").alias("chain"), joined("priced_gates", ",").alias("priced_gates"))
 
 
-@query("toll_leg_indices")
+view("leg_ends", f"SELECT {GROUP}, chain, list(t ORDER BY pos) AS ends FROM {{plegs}} WHERE price > 0 GROUP BY ALL")
+_FOUND = "list_position(places[a.at + 1 :], e.g)"
+
+
+@query(
+    "toll_leg_indices",
+    # each leg's end, looked for behind the place of the one before
+    f"""SELECT {GROUP}, chain, array_to_string(list_reduce(list_prepend(struct_pack(at := 0::BIGINT, g := 0::BIGINT, found := []::BIGINT[]),
+      list_transform(coalesce(ends, []), lambda x: struct_pack(at := 0::BIGINT, g := x, found := []::BIGINT[]))),
+      lambda a, e: CASE WHEN {_FOUND} > 0 THEN struct_pack(at := a.at + {_FOUND}, g := e.g, found := list_append(a.found, a.at + {_FOUND} - 1)) ELSE a END).found, ',') AS indices
+    FROM (SELECT {GROUP}, chain, list_transform(list_filter(string_split(chain, ','), lambda x: x <> ''), lambda x: CAST(x AS BIGINT)) AS places FROM {{opts}}) LEFT JOIN {{leg_ends}} USING ({GROUP}, chain)""",
+)
 def _(x):
     return detailed(x).select(*req.GROUP, joined("chain", ",").alias("chain"), joined("toll_leg_indices", ",").alias("indices"))
 
 
-@query("waypoint_legs")
+view(
+    "pgs",
+    f"""SELECT {GROUP}, chain, list(g ORDER BY k) AS pg FROM (SELECT {GROUP}, chain, g, min(k) AS k FROM (
+      SELECT {GROUP}, chain, f AS g, pos * 2 AS k FROM {{plegs}} WHERE price > 0 UNION ALL SELECT {GROUP}, chain, t, pos * 2 + 1 FROM {{plegs}} WHERE price > 0) GROUP BY ALL) GROUP BY ALL""",
+)
+view("leg_starts", f"SELECT {GROUP}, chain, list(f) AS starts FROM {{plegs}} WHERE price > 0 GROUP BY ALL")
+
+
+@query(
+    "waypoint_legs",
+    f"""SELECT {GROUP}, substr(sha1(printf('%.5f,%.5f|%.5f,%.5f|', a.lat, a.lon, b.lat, b.lon) || array_to_string(coalesce(pg, []), ',')), 1, 16) AS route_id,
+      CAST(2 + coalesce(len(pg), 0) AS INTEGER) AS n_waypoints,
+      array_to_string(list_sort(list_distinct(list_transform(coalesce(starts, []), lambda f: list_position(pg, f)))), ',') AS priced_legs
+    FROM {{opts}} LEFT JOIN {{pgs}} USING ({GROUP}, chain) LEFT JOIN {{leg_starts}} USING ({GROUP}, chain)
+    JOIN {{hubs}} a ON a.hub_id = origin_id JOIN {{hubs}} b ON b.hub_id = destination_id""",
+)
 def _(x):
     w = options.waypoint_legs(detailed(x), x.hubs, x.gates)
     return w.select(*req.GROUP, "route_id", F.size("waypoints").alias("n_waypoints"), joined("priced_legs", ",").alias("priced_legs"))

@@ -27,10 +27,10 @@ view("placed", f"SELECT *, {_X} AS x, {_Y} AS y FROM {{gates}} WHERE lat IS NOT
 # --- scalar expressions over the tables --------------------------------------------------------
 
 
-@query("fn_haversine", f"SELECT a.gare_id, round({hav('a.lat', 'a.lon', 'b.lat', 'b.lon', 6371000.0)}, 3) AS metres, round({hav('a.lat', 'a.lon', 'b.lat', 'b.lon', 6371.0)}, 6) AS km FROM {{gates}} a JOIN {{hubs}} b ON b.hub_id = a.nation_id")
+@query("fn_haversine", f"SELECT a.gare_id, round({hav('a.lat', 'a.lon', 'b.lat', 'b.lon', 6371000.0)}, 3) AS metres, round({hav('a.lat', 'a.lon', 'b.lat', 'b.lon', 6371.0)}, 6) AS km FROM {{gates}} a JOIN {{hubs}} b ON b.hub_id = a.nation_id % (SELECT n FROM {{hub_count}})")
 def _(x):
     h = x.hubs.select("hub_id", F.col("lat").alias("h_lat"), F.col("lon").alias("h_lon"))
-    g = x.gates.join(h, F.col("hub_id") == F.col("nation_id"))
+    g = x.gates.withColumn("h", F.col("nation_id") % x.table("hub_count").scalar()).join(h, F.col("hub_id") == F.col("h"))
     km = geo.haversine("lat", "lon", "h_lat", "h_lon", geo.EARTH_RADIUS_KM)
     return g.select("gare_id", F.round(geo.haversine("lat", "lon", "h_lat", "h_lon"), 3).alias("metres"), F.round(km, 6).alias("km"))
 
