@@ -12,8 +12,9 @@ members of the bucket that share most buckets with others: at most `PIVOTS` a bu
 the members. Then, in the buckets that still hold more than one component, the sketches of members of
 different components are compared within the bucket's task, in numpy; only the pairs that pass leave it,
 each in the first band that it shares. Pairs of one component aren't looked at again. There is no cap: a
-pair is left out only if it shares no band (at similarity 0.75: 2e-8) or if its sketches differ by
-over five standard deviations more than at 0.75.
+pair is left out only if it shares no band (at similarity 0.75: 2e-8) or if its sketches differ in more bits
+than `PLAUSIBLE` allows: at 0.75 they differ in 87 bits with a deviation of 11, and 138 are allowed, so about
+one pair in a million at that similarity is lost, and fewer above it.
 
 Cases: without words or text the set is empty, linked with nothing. Rows that repeat a doc_id are one
 node with several sets. A row without doc_id is linked with nothing, keeps a null component and stays.

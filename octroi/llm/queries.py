@@ -86,7 +86,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op4_near_duplicates")
+@query("op4_near_duplicates", f"SELECT *, component_id = doc_id AS kept FROM ({ngram_join.checking_sql(5, 75)})")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
