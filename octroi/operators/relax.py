@@ -109,6 +109,8 @@ def relax(
             visits = visits.join(constants, keys, "left")
         if bounded:
             visits = visits.withColumns({k: F.when(F.col(k) <= F.coalesce(f"b{i}", most), F.col(k)) for i, k in enumerate(c)}).where(~none)
+        # without nulls the lanes' arithmetic is short enough to be compiled as a whole, however many there are
+        visits = visits.withColumns({k: F.coalesce(k, most) for k in c})
         reached = visits.join(table, [*on, "salt"]).select(
             *keys, F.col("to_node").alias("node"), *((F.col(k) + increment(i)).alias(f"n{i}") for i, k in enumerate(c)), "fan"
         )
@@ -121,7 +123,7 @@ def relax(
         for k in known:
             found = found.join(k, [x for x in row if x in k.columns], "left")
         better = []
-        for k in range(lanes):
+        for k in range(lanes):  # what isn't a number is not less
             old = F.least(most, *(F.coalesce(x, most) for x in (f"sc{k}", f"rc{k}") if x in found.columns))
             fits = F.col(f"n{k}") < old
             if bounded:

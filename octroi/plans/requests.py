@@ -79,12 +79,12 @@ def bundles(search: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     number = F.row_number().over(Window.partitionBy("origin_id", "vehicle_class").orderBy("mode")) - 1
     laned = search.withColumn("_n", number).withColumns({"bundle": F.floor(F.col("_n") / lanes).cast("int"), "lane": F.col("_n") % lanes})
     of = lambda k, c: F.max(F.when(F.col("lane") == k, F.col(c))).alias(f"{c}_{k}")
-    wide = laned.groupBy(*BUNDLE).agg(*(of(k, c) for k in range(lanes) for c in FACTORS))
+    wide = laned.groupBy(*BUNDLE).agg((F.max("lane") + 1).alias("used"), *(of(k, c) for k in range(lanes) for c in FACTORS))
     return written(wide, "bundles"), written(laned.select(*BUNDLE, "lane", *[c for c in search.columns if c not in BUNDLE]), "lanes"), lanes
 
 
 def lane_cost(k: int, toll, metres, seconds):
-    """What a way costs in lane k; null where the lane is not in use."""
+    """What a way costs in lane k."""
     return F.col(f"k_toll_{k}") * toll + F.col(f"k_m_{k}") * metres + F.col(f"k_s_{k}") * seconds
 
 
@@ -97,6 +97,9 @@ def route_table(groups: DataFrame, classes: DataFrame, legs: DataFrame, moves: D
     search = written(searches(groups, classes), "searches")
     goal = written(targets(groups, search), "targets")
     wide, laned, lanes = bundles(search)
+    factors = {f"{c}_{k}": F.coalesce(f"{c}_{k}", F.lit(0.0)) for k in range(lanes) for c in FACTORS}
+    wide = wide.withColumns(factors)
+    context = wide.drop("used")
     moves = written(moves, "moves")
     # Exit legs are shaped by gate once and read in every round.
     exits = written(
@@ -117,9 +120,11 @@ def route_table(groups: DataFrame, classes: DataFrame, legs: DataFrame, moves: D
     )
     zero = F.lit(0.0)
     each = range(lanes)
-    seeds = wide.join(entry, "origin_id").select(*BUNDLE, "node", *(lane_cost(k, zero, F.col("m"), F.col("s")).alias(f"c{k}") for k in each))
-    toll = F.element_at("tolls", F.col("vehicle_class").cast("int"))
-    step = lambda k: lane_cost(k, toll, F.col("e_m"), F.col("e_s"))
+    seeds = wide.join(entry, "origin_id").select(*BUNDLE, "node", *(F.when(F.col("used") > k, lane_cost(k, zero, F.col("m"), F.col("s"))).alias(f"c{k}") for k in each))
+    endless = F.lit(float("inf"))  # of moves that this class can't make
+    toll = F.coalesce(F.element_at("tolls", F.col("vehicle_class").cast("int")), endless)
+    can = toll < endless
+    step = lambda k: F.when(can, lane_cost(k, toll, F.coalesce("e_m", endless), F.coalesce("e_s", endless))).otherwise(endless)
     leave = lambda k: F.col(f"c{k}") + lane_cost(k, zero, F.col("x_m"), F.col("x_s"))
     met: list[DataFrame] = []  # costs at destinations: the least so far, then those of the rounds since
     bounds: list[DataFrame] = []
@@ -137,14 +142,14 @@ def route_table(groups: DataFrame, classes: DataFrame, legs: DataFrame, moves: D
             bounds[:] = [written(aims.join(met[0], [*BUNDLE, "destination_id"], "left").groupBy(*BUNDLE).agg(*all_met), "bounds")]
         return bounds[0]
 
-    state = relax(seeds, moves, BUNDLE, step, lanes, context=wide, limit=limit)
+    state = relax(seeds, moves, BUNDLE, step, lanes, context=context, limit=limit)
     last = lambda k: F.min(F.when(leave(k).isNotNull(), F.struct(leave(k).alias("cost"), "node", F.col("x_m").alias("last_m"), F.col("x_s").alias("last_s"))))
     ends = state.join(exits, "node").join(wide, BUNDLE).join(aims, [*BUNDLE, "destination_id"], "left_semi")
     ends = ends.groupBy(*BUNDLE, "destination_id").agg(F.array(*(last(k) for k in each)).alias("r"))
     best = ends.select(*BUNDLE, "destination_id", F.posexplode("r").alias("lane", "r")).where("r is not null").select(*BUNDLE, "destination_id", "lane", "r.*")
     best = written(best.join(laned, [*BUNDLE, "lane"]).join(goal, [*SEARCH, "destination_id"], "left_semi"), "ends")
     carry = {"toll": toll, "e_m": F.col("e_m"), "e_s": F.col("e_s")}
-    links = ways_back(best.select(*BUNDLE, "lane", "node"), state, moves, BUNDLE, step, lanes, context=wide, carry=carry)
+    links = ways_back(best.select(*BUNDLE, "lane", "node"), state, moves, BUNDLE, step, lanes, context=context, carry=carry)
     links = written(links, "ways-back")
     walked = walk(best.select(*BUNDLE, "lane", "node"), links, BUNDLE, tuple(carry))
     found = best.join(walked, [*BUNDLE, "lane", "node"])

@@ -118,8 +118,8 @@ SELECT CAST(c_custkey AS BIGINT) AS place_id, c_name AS place_name, CAST(c_natio
 FROM {customer}
 """
 
-# Depots where requests begin and end: a few, and one more for every hundred suppliers.
-HUB_COUNT = "SELECT 5 + CAST(floor(count(*) / 100.0) AS BIGINT) AS n FROM {supplier}"
+# Depots where requests begin and end: a few, and one more for every five hundred suppliers.
+HUB_COUNT = "SELECT 4 + CAST(floor(count(*) / 500.0) AS BIGINT) AS n FROM {supplier}"
 HUBS = """
 SELECT hub_id, 'DEPOT ' || CAST(hub_id AS STRING) AS hub_name,
   CAST(4300000 + hub_id * 29119 % 700000 AS DOUBLE) / 100000 AS lat,
