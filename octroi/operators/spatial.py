@@ -106,6 +106,67 @@ def nearest_point(left: DataFrame, right: DataFrame, first_radius_m: float = 500
         radius *= growth
 
 
+# --- rings -----------------------------------------------------------------------------------
+
+
+def _turns(band, step: float):
+    """Cells of a latitude band around the globe: each at least `step` degrees of latitude wide at its polar edge."""
+    edge = F.greatest(F.abs(band * step - 90.0), F.abs((band + 1) * step - 90.0))
+    return F.greatest(F.lit(1), F.floor(360.0 / step * F.cos(F.radians(F.least(F.lit(90.0), edge))))).cast("bigint")
+
+
+def with_globe_cell(df: DataFrame, lat: str, lon: str, step: float) -> DataFrame:
+    """Adds `band` and `cell`; cells close around the globe, so nothing ends at the date line."""
+    df = df.withColumn("band", F.floor((F.col(lat) + 90.0) / step).cast("bigint"))
+    return df.withColumn("cell", F.floor(F.pmod(F.col(lon) + 180.0, F.lit(360.0)) / 360.0 * _turns(F.col("band"), step)).cast("bigint"))
+
+
+def cell_centre(step: float):
+    """(lat, lon) of the middle of `band`, `cell`."""
+    return (F.col("band") + 0.5) * step - 90.0, (F.col("cell") + 0.5) * 360.0 / _turns(F.col("band"), step) - 180.0
+
+
+def ring_join(left: DataFrame, right: DataFrame, lo: float, hi: float, step: float, radius: float = EARTH_RADIUS_M) -> DataFrame:
+    """Rows of both sides whose distance lies in [lo, hi], as `dist`; points are a_lat, a_lon and b_lat, b_lon.
+
+    A left point looks only into cells that its ring crosses: in each latitude band, east and west of it, those
+    between the longitude offset below which all of the band is too near and the one beyond which all is too far.
+    Offsets come from hav(d) = hav(lat) + cos cos hav(lon), with the band's own extremes put in.
+    """
+    hav = lambda x: F.pow(F.sin(F.radians(x) / 2), F.lit(2.0))  # noqa: E731  of degrees
+    slack = 1e-7
+    near_deg, far_deg = (F.lit(math.degrees(min(math.pi, d / radius))) for d in (lo, hi))
+    lat, lon, band = F.col("a_lat"), F.col("a_lon"), F.col("band")
+    top = int(180.0 / step)
+    first = F.greatest(F.lit(0), F.floor((lat + 90.0 - far_deg - slack) / step)).cast("bigint")
+    last = F.least(F.lit(top), F.floor((lat + 90.0 + far_deg + slack) / step)).cast("bigint")
+    south, north = band * step - 90.0, (band + 1) * step - 90.0
+    closest = F.greatest(south - lat, lat - north, F.lit(0.0))
+    furthest = F.greatest(F.abs(lat - south), F.abs(lat - north))
+    thin = F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs(south), F.abs(north)))))
+    wide = F.when((south < 0) & (north > 0), 1.0).otherwise(F.cos(F.radians(F.least(F.abs(south), F.abs(north)))))
+    own = F.cos(F.radians(lat))
+
+    def offset(limit, spent, cos_b):
+        share = (hav(limit) - hav(spent)) / F.greatest(own * cos_b, F.lit(1e-15))
+        return F.degrees(2 * F.asin(F.sqrt(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)))))
+
+    outer = F.least(F.lit(180.0), offset(far_deg + slack, closest, thin) + slack)
+    inner = F.greatest(F.lit(0.0), offset(F.greatest(F.lit(0.0), near_deg - slack), furthest, wide) - slack)
+    at = lambda x: F.floor((lon + 180.0 + x) / 360.0 * F.col("_turns")).cast("bigint")
+    # no cell twice: the west side ends before the east side begins, and neither goes past the other around the globe
+    sides = F.concat(F.sequence("_e0", "_e1"), F.when(F.col("_w0") <= F.col("_w1"), F.sequence("_w0", "_w1")).otherwise(F.array().cast("array<bigint>")))
+    a = left.where("a_lat is not null and a_lon is not null").withColumn("band", F.explode(F.sequence(first, last)))
+    a = a.withColumns({"_inner": inner, "_outer": outer, "_turns": _turns(band, step)}).where("_inner <= _outer")
+    a = a.withColumns({"_e0": at(F.col("_inner")), "_far": at(F.col("_outer"))})
+    a = a.withColumns({"_e1": F.least(F.col("_far"), F.col("_e0") + F.col("_turns") - 1)})
+    a = a.withColumns({"_w0": F.greatest(at(-F.col("_outer")), F.col("_e1") - F.col("_turns") + 1), "_w1": F.least(at(-F.col("_inner")), F.col("_e0") - 1)})
+    a = a.withColumn("cell", F.explode(sides)).withColumn("cell", F.pmod("cell", "_turns")).drop("_inner", "_outer", "_turns", "_e0", "_e1", "_far", "_w0", "_w1")
+    b = with_globe_cell(right.where("b_lat is not null and b_lon is not null"), "b_lat", "b_lon", step)
+    met = a.join(b, ["band", "cell"]).withColumn("dist", haversine("a_lat", "a_lon", "b_lat", "b_lon", radius))
+    return met.where(F.col("dist").between(lo, hi)).drop("band", "cell")
+
+
 # --- polylines -------------------------------------------------------------------------------
 
 ROUTE_BLOCK = 4096
