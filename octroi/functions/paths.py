@@ -25,16 +25,6 @@ def gate_chain(path) -> Column:
     )
 
 
-def collapse_chain(nodes) -> Column:
-    """Node gate ids -> chain: synthetic (negative) ids skipped, consecutive repeats once."""
-    empty = F.array().cast("array<bigint>")
-    real = F.filter(_c(nodes), lambda g: g >= 0)
-    return F.aggregate(
-        real, empty,
-        lambda acc, g: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)) == g), acc).otherwise(F.concat(acc, F.array(g))),
-    )
-
-
 def toll_legs(path) -> Column:
     """array<struct<pos, from_gare_id, to_gare_id>> of the toll steps."""
     p = _c(path)

@@ -8,24 +8,33 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+HANGUL = (0xAC00, 0xD7A3)
 
-def _folds() -> tuple[str, str, dict[str, str]]:
+
+def _folds() -> tuple[str, str, dict[str, str], str]:
     """Characters whose compatibility decomposition, without its marks, is one other character, and those letters.
 
-    Third: the Latin ligatures that give several letters.
+    Third: the signs that give several letters, but for Hangul syllables, which follow a rule. Fourth: a pattern of all marks.
     """
-    one, several = {}, {}
-    for code in (*range(0x80, 0xD800), *range(0xE000, 0x10000)):
+    one, several, marks = {}, {}, []
+    for code in (*range(0x80, 0xD800), *range(0xE000, 0x110000)):
         c = chr(code)
         bare = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
-        if len(bare) == 1 and bare != c:
+        if not bare and marks and marks[-1][1] == code - 1:
+            marks[-1][1] = code
+        elif not bare:
+            marks.append([code, code])
+        elif len(bare) == 1 and bare != c:
             one[c] = bare
-        elif len(bare) > 1 and bare.isascii() and bare.isalpha() and "LATIN" in unicodedata.name(c, "") and "LIGATURE" in unicodedata.name(c, ""):
+        elif len(bare) > 1 and not HANGUL[0] <= code <= HANGUL[1]:
             several[c] = bare
-    return "".join(one), "".join(one.values()), several
+    return "".join(one), "".join(one.values()), several, "[" + "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in marks) + "]"
 
 
-FOLDED, BARE, LIGATURES = _folds()
+FOLDED, BARE, SEVERAL, MARKS = _folds()
+#: One constant of pairs; no sign or letter of them is one of these two.
+_PAIRS = "\x01".join(f"{sign}\x02{letters}" for sign, letters in SEVERAL.items())
+_LONGER = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in SEVERAL) + f"\\x{{{HANGUL[0]:x}}}-\\x{{{HANGUL[1]:x}}}]"
 
 
 def _c(c) -> Column:
@@ -33,7 +42,7 @@ def _c(c) -> Column:
 
 
 def _clean_tokens(parts: Column) -> Column:
-    trimmed = F.transform(parts, lambda x: F.trim(x))
+    trimmed = F.transform(parts, strip)
     return F.array_sort(F.array_distinct(F.filter(trimmed, lambda x: x != "")))
 
 
@@ -47,12 +56,20 @@ def route_tokens(c) -> Column:
     return _clean_tokens(F.split(F.coalesce(_c(c), F.lit("")), "[|;,]"))
 
 
+def _spelled_out(c: Column) -> Column:
+    """One character as the letters that it stands for; a syllable is a lead, a vowel and maybe a tail."""
+    nth = F.ascii(c) - HANGUL[0]
+    jamo = lambda first, n, k: F.substring(F.lit("".join(chr(first + i) for i in range(n))), k.cast("int") + 1, F.lit(1))
+    tail = F.when(nth % 28 > 0, jamo(0x11A8, 27, nth % 28 - 1)).otherwise("")
+    syllable = F.concat(jamo(0x1100, 19, F.floor(nth / 588)), jamo(0x1161, 21, F.floor(nth % 588 / 28)), tail)
+    return F.when(nth.between(0, HANGUL[1] - HANGUL[0]), syllable).otherwise(F.coalesce(F.try_element_at(F.str_to_map(F.lit(_PAIRS), F.lit("\x01"), F.lit("\x02")), c), c))
+
+
 def fold_accents(c) -> Column:
-    """Letters without marks, compatibility forms as plain characters, no-break blanks as blanks."""
+    """Letters without marks and compatibility forms as the plain characters that they stand for."""
     out = F.translate(_c(c), FOLDED, BARE)
-    for ligature, letters in LIGATURES.items():
-        out = F.replace(out, F.lit(ligature), F.lit(letters))
-    return F.regexp_replace(out, r"\p{M}", "")
+    longer = F.array_join(F.transform(F.split(out, ""), _spelled_out), "")
+    return F.regexp_replace(F.when(out.rlike(_LONGER), longer).otherwise(out), MARKS, "")
 
 
 def strip(c) -> Column:

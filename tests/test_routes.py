@@ -65,8 +65,6 @@ def one(spark, col, schema, row):
 
 
 def test_chain_skips_synthetic_and_repeats(spark):
-    assert one(spark, paths.collapse_chain("n"), "n array<bigint>", ([-1, 5, 5, 5, 9, 9, 5, -2],)) == [5, 9, 5]
-    assert one(spark, paths.collapse_chain("n"), "n array<bigint>", ([-1, -2],)) == []
     # entry at 5, toll to 9, free to 7, toll to 9
     codes = [5 * 8 + 5, 9 * 8 + 4, 7 * 8 + 1, 9 * 8 + 4]
     assert one(spark, paths.gate_chain("p"), "p array<bigint>", (codes,)) == [5, 9, 7, 9]
@@ -106,35 +104,35 @@ def test_costs_and_thresholds(spark):
     assert [one(spark, pricing.vot_bucket(F.col("a")), schema, (v, 0.0, 0.0)) for v in (12.5, 13.5)] == [12, 14]
 
 
+def hop_chains(i, j, fares, gaps):
+    """Every way from gate i to gate j: fares one after the other, and steps (None) over gaps that no fare spans."""
+    if i == j:
+        yield []
+    for p, q in fares:
+        if p == i and q <= j:
+            yield from ([(p, q), *rest] for rest in hop_chains(q, j, fares, gaps))
+    if i in gaps and i < j:
+        yield from ([None, *rest] for rest in hop_chains(i + 1, j, fares, gaps))
+
+
 def brute_prices(n, fares):
-    """The stated rules for one section of n gates, pair by pair."""
-    cuts = {k for k in range(n - 1) if not any(i <= k < j for i, j in fares)}
-    runs, start = [], 0
-    for k in sorted(cuts):
-        runs.append((start, k))
-        start = k + 1
-    runs.append((start, n - 1))
-    best = {(i, j): cheapest_hops(i, j, fares) for i in range(n) for j in range(i + 1, n)}
-    best = {k: v for k, v in best.items() if v is not None} | fares
-    out = {}
-    for i in range(n):
-        for j in range(i + 1, n):
-            if i in cuts or j - 1 in cuts:
-                continue
-            parts = [(max(i, lo), min(j, hi)) for lo, hi in runs if max(i, lo) <= min(j, hi)]
-            vals = [0.0 if a == b else best.get((a, b)) for a, b in parts]
-            if None not in vals and not (len(vals) > 1 and sum(vals) == 0):
-                out[i, j] = sum(vals)
-    return out
+    """Cheapest chain of each pair that neither begins nor ends at a gap, with a fare wherever one fits a stretch between gaps."""
 
+    def allowed(way):
+        marks = [-1, *(k for k, hop in enumerate(way) if hop is None), len(way)]
+        stretches = [way[a + 1 : b] for a, b in zip(marks, marks[1:])]
+        return all(len(s) < 2 or (s[0][0], s[-1][1]) not in fares for s in stretches)
 
-def cheapest_hops(i, j, fares):
-    dist = {i: 0.0}
-    for a in range(i, j):
-        for (p, q), w in fares.items():
-            if p == a and a in dist and q <= j:
-                dist[q] = min(dist.get(q, 1e18), dist[a] + w)
-    return dist.get(j)
+    gaps = {k for k in range(n - 1) if all(q <= k or p > k for p, q in fares)}
+    out = {}
+    for j in range(n):
+        for i in set(range(j)) - gaps:
+            ways = [] if j - 1 in gaps else [w for w in hop_chains(i, j, fares, gaps) if allowed(w)]
+            if ways:
+                price = min(sum(fares[hop] for hop in w if hop) for w in ways)
+                if price or None not in ways[0]:
+                    out[i, j] = price
+    return out
 
 
 def test_chain_prices_against_brute_force(spark):
