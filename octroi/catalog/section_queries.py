@@ -31,7 +31,24 @@ def kept(x):
     return x.stored("kept", lambda: sections.along_route_spacing(on_route(x)))
 
 
-view("free_sec", "SELECT DISTINCT route_id, section_no FROM {all_sec} WHERE (route_id + section_no) % 5 <> 0 AND (route_id + section_no) % 3 <> 2")
+view("windows", "SELECT route_id, section_no, greatest(min(along) - 2000, 0) AS lo, max(along) + 2000 AS hi FROM {all_sec} GROUP BY ALL")
+view(
+    "driven",
+    """SELECT route_id, section_no, x1 + dx * t0 AS x1, y1 + dy * t0 AS y1, x1 + dx * t1 AS x2, y1 + dy * t1 AS y2, 250 + CAST(floor(lo) AS BIGINT) % 101 AS aside FROM (
+    SELECT w.*, x1, y1, x2 - x1 AS dx, y2 - y1 AS dy, (greatest(lo, start) - start) / len AS t0, (least(hi, start + len) - start) / len AS t1
+    FROM {windows} w JOIN {segs} s ON s.route_id = w.route_id AND start < hi AND start + len > lo AND len > 0)""",
+)
+view("probed", "SELECT route_id, section_no, x1 + aside AS x1, y1, x2 + aside AS x2, y2 FROM {driven}")
+view("both_lines", "SELECT 0 AS line, route_id, section_no, x1, y1, x2, y2 FROM {driven} UNION ALL SELECT 1, * FROM {probed}")
+# every vertex of either line against the whole other line
+view(
+    "apart",
+    """SELECT line, route_id, section_no, x, y, min(round(sqrt(pow(x - x1 - t * (x2 - x1), 2) + pow(y - y1 - t * (y2 - y1), 2)), 3)) AS d FROM (
+    SELECT v.*, x1, y1, x2, y2, CASE WHEN x1 = x2 AND y1 = y2 THEN 0 ELSE least(1.0, greatest(0.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) END AS t
+    FROM (SELECT line, route_id, section_no, x1 AS x, y1 AS y FROM {both_lines} UNION SELECT line, route_id, section_no, x2, y2 FROM {both_lines}) v
+    JOIN {both_lines} l ON l.route_id = v.route_id AND l.section_no = v.section_no AND l.line <> v.line) GROUP BY ALL""",
+)
+view("free_sec", "SELECT route_id, section_no FROM {apart} GROUP BY ALL HAVING max(d) <= 300")
 view(
     "sec",
     "SELECT route_id, CAST(dense_rank() OVER (PARTITION BY route_id ORDER BY section_no) - 1 AS BIGINT) AS section_no, i, gare_id, along, n FROM {all_sec} WHERE (route_id, section_no) NOT IN (SELECT (route_id, section_no) FROM {free_sec})",
@@ -46,7 +63,7 @@ def untolled(x):
     segs = places.route_segments(x.vertices)
     windows = sections.section_windows(all_secs(x))
     driven = x.stored("driven_stretch", lambda: sections.driven_stretch(windows, segs))
-    return x.stored("untolled", lambda: sections.untolled_sections(driven, probe_lines(x, windows, segs)).select("route_id", "section_no"))
+    return x.stored("untolled", lambda: sections.untolled_sections(driven, probe_lines(driven, windows)).select("route_id", "section_no"))
 
 
 def secs(x):
@@ -163,11 +180,11 @@ def _(x):
 # --- sections beside a free road ----------------------------------------------------------------
 
 
-def probe_lines(x, windows, segs):
-    """Toll-free probe per section: the driven stretch, moved aside by 0, 100 or 5000 m; some sections have none."""
-    shift = F.element_at(F.array(F.lit(0.0), F.lit(100.0), F.lit(5000.0)), ((F.col("route_id") + F.col("section_no")) % 3 + 1).cast("int"))
-    d = sections.driven_stretch(windows, segs).where("(route_id + section_no) % 5 <> 0")
-    return d.withColumns({"x1": F.col("x1") + shift, "x2": F.col("x2") + shift})
+def probe_lines(driven, windows):
+    """Toll-free probe of each section: the driven stretch, moved aside by 250 to 350 m, as the place on the route has it."""
+    aside = windows.select(*sections.SECTION, (F.floor("lo_m") % 101 + 250).alias("aside"))
+    moved = driven.join(aside, sections.SECTION)
+    return moved.withColumns({"x1": F.col("x1") + F.col("aside"), "x2": F.col("x2") + F.col("aside")}).drop("aside")
 
 
 @query("untolled_sections", "SELECT * FROM {free_sec}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from octroi.operators.places import class_prices
@@ -256,9 +256,8 @@ def untolled_sections(driven: DataFrame, probe: DataFrame, max_m: float = FREE_R
 def drop_untolled(sections: DataFrame, untolled: DataFrame) -> DataFrame:
     """Sections that are paid for, numbered anew from 0 along each route. Numbers are given per section, not per gate."""
     paid = sections.join(untolled, SECTION, "left_anti")
-    order = Window.partitionBy("route_id").orderBy("section_no")
-    numbers = paid.select(*SECTION).distinct().withColumn("_no", (F.row_number().over(order) - 1).cast("bigint"))
-    return paid.join(numbers, SECTION).withColumn("section_no", F.col("_no")).drop("_no")
+    numbers = row_positions(paid.select(*SECTION).distinct(), ["route_id"], ["section_no"], F.floor(F.col("section_no") / 1024), "_no")
+    return paid.join(numbers, SECTION).withColumn("section_no", F.col("_no") - 1).drop("_no")
 
 
 # --- stage-wise search ---------------------------------------------------------------------------
