@@ -125,14 +125,17 @@ def _(x):
     return sections.section_runs(secs(x), links(x)).select("route_id", "section_no", "i", "is_cut", "run")
 
 
-_HOPS = 10
-view("hop_1", "SELECT * FROM {links}")
-for _i in range(2, _HOPS + 1):
-    view(
-        f"hop_{_i}",
-        f"SELECT route_id, section_no, i, j, min(price) AS price FROM (SELECT * FROM {{hop_{_i - 1}}} UNION ALL SELECT c.route_id, c.section_no, c.i, l.j, c.price + l.price FROM {{hop_{_i - 1}}} c JOIN {{links}} l ON l.route_id = c.route_id AND l.section_no = c.section_no AND l.i = c.j) GROUP BY ALL",
-    )
-view("chains", f"SELECT h.route_id, h.section_no, h.i, h.j, coalesce(l.price, h.price) AS price FROM {{hop_{_HOPS}}} h LEFT JOIN {{links}} l USING (route_id, section_no, i, j)")
+# One row a pair; a round reads the pairs that the last one made cheaper.
+view(
+    "hops",
+    """USING KEY route_id, section_no, i, j OF route_id, section_no, i, j, price
+  SELECT route_id, section_no, i, j, price FROM {links}
+  UNION ALL
+  SELECT c.* FROM (SELECT s.route_id, s.section_no, s.i, l.j, min(s.price + l.price) AS price FROM sv_hops s JOIN {links} l ON l.route_id = s.route_id AND l.section_no = s.section_no AND l.i = s.j GROUP BY ALL) c
+  LEFT JOIN recurring.sv_hops o ON o.route_id = c.route_id AND o.section_no = c.section_no AND o.i = c.i AND o.j = c.j
+  WHERE o.price IS NULL OR c.price < o.price""",
+)
+view("chains", "SELECT h.route_id, h.section_no, h.i, h.j, coalesce(l.price, h.price) AS price FROM {hops} h LEFT JOIN {links} l USING (route_id, section_no, i, j)")
 view("run_bounds", "SELECT route_id, section_no, run, min(i) AS lo, max(i) AS hi FROM {run_rows} GROUP BY ALL")
 view("pairs", "SELECT route_id, section_no, n, i, j FROM (SELECT *, unnest(t) AS j FROM (SELECT *, unnest(t) AS i FROM {thin})) WHERE i < j")
 view(
@@ -240,27 +243,26 @@ def _(x):
 
 view("free_leg", "SELECT from_pid AS a, to_pid AS b, free_s AS s FROM {legs} WHERE free_s IS NOT NULL UNION ALL SELECT DISTINCT pid, pid, 0.0 FROM {points}")
 view("in_leg", "SELECT from_pid AS a, to_pid AS b, tolled_s AS s FROM {legs} WHERE tolled_s IS NOT NULL UNION ALL SELECT DISTINCT pid, pid, 0.0 FROM {points}")
-_STAGES = 24
 view("n_sec", "SELECT route_id, count(DISTINCT section_no) AS n_sections FROM {sec} GROUP BY route_id")
 
 
 def _dp_views(prefix: str, cand_filter: str, vots: str, skip: bool) -> str:
+    stay = "" if skip else " WHERE ns <= k"
     view(
-        f"{prefix}_0",
-        f"SELECT route_id, coalesce(n_sections, 0) AS ns, v.vot, origin_pid AS loc, struct_pack(cost := 0.0::DOUBLE, toll := 0.0::DOUBLE, sec := 0.0::DOUBLE, nc := 0) AS v FROM {{ends}} LEFT JOIN {{n_sec}} USING (route_id), (VALUES {vots}) v(vot)",
+        f"{prefix}_stages",
+        f"""SELECT 0::BIGINT AS k, route_id, coalesce(n_sections, 0) AS ns, v.vot, origin_pid AS loc, struct_pack(cost := 0.0::DOUBLE, toll := 0.0::DOUBLE, sec := 0.0::DOUBLE, nc := 0) AS v
+        FROM {{ends}} LEFT JOIN {{n_sec}} USING (route_id), (VALUES {vots}) v(vot)
+      UNION ALL
+      SELECT k + 1, route_id, ns, vot, loc, min(v) FROM (SELECT k, route_id, ns, vot, loc, v FROM sv_{prefix}_stages{stay} UNION ALL
+        SELECT d.k, d.route_id, d.ns, d.vot, c.exit_pid, struct_pack(cost := (d.v.toll + c.price) + d.vot * (d.v.sec + f.s + i.s) / 3600.0, toll := d.v.toll + c.price, sec := d.v.sec + f.s + i.s, nc := d.v.nc + 1)
+        FROM sv_{prefix}_stages d JOIN {{pc}} c ON c.route_id = d.route_id AND c.section_no = d.k {cand_filter} JOIN {{free_leg}} f ON f.a = d.loc AND f.b = c.entry_pid JOIN {{in_leg}} i ON i.a = c.entry_pid AND i.b = c.exit_pid)
+      WHERE k < (SELECT max(n_sections) FROM {{n_sec}}) GROUP BY ALL""",
     )
-    for k in range(_STAGES):
-        stay = "" if skip else f" WHERE ns <= {k}"
-        view(
-            f"{prefix}_{k + 1}",
-            f"""SELECT route_id, ns, vot, loc, min(v) AS v FROM (SELECT * FROM {{{prefix}_{k}}}{stay} UNION ALL
-        SELECT d.route_id, d.ns, d.vot, c.exit_pid, struct_pack(cost := (d.v.toll + c.price) + d.vot * (d.v.sec + f.s + i.s) / 3600.0, toll := d.v.toll + c.price, sec := d.v.sec + f.s + i.s, nc := d.v.nc + 1)
-        FROM {{{prefix}_{k}}} d JOIN {{pc}} c ON c.route_id = d.route_id AND c.section_no = {k} {cand_filter} JOIN {{free_leg}} f ON f.a = d.loc AND f.b = c.entry_pid JOIN {{in_leg}} i ON i.a = c.entry_pid AND i.b = c.exit_pid) GROUP BY ALL""",
-        )
     view(
         prefix,
         f"""SELECT d.route_id, d.vot, min(struct_pack(cost := d.v.toll + d.vot * (d.v.sec + f.s) / 3600.0, toll := d.v.toll, sec := d.v.sec + f.s, nc := d.v.nc)) AS v
-    FROM {{{prefix}_{_STAGES}}} d JOIN {{ends}} e ON e.route_id = d.route_id JOIN {{free_leg}} f ON f.a = d.loc AND f.b = e.destination_pid GROUP BY ALL""",
+    FROM {{{prefix}_stages}} d JOIN {{ends}} e ON e.route_id = d.route_id JOIN {{free_leg}} f ON f.a = d.loc AND f.b = e.destination_pid
+    WHERE d.k = (SELECT coalesce(max(n_sections), 0) FROM {{n_sec}}) GROUP BY ALL""",
     )
     return prefix
 
