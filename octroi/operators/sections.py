@@ -290,7 +290,8 @@ def section_dp(routes: DataFrame, cands: DataFrame, matrix: DataFrame, n_section
 
     One join and one least-row aggregation per stage over all routes and VoTs together. A state is
     a position: the origin or an exit point, so a stage multiplies a route's few states by its at most
-    15 candidates.
+    15 candidates. Routes leave the rounds after their last section. Without skipping, a route with a section that
+    has no candidate has no row.
     """
     free = matrix.where("free_s IS NOT NULL").select(F.col("from_pid").alias("a"), F.col("to_pid").alias("b"), F.col("free_s").alias("leg_s"))
     inner = matrix.where("tolled_s IS NOT NULL").select(F.col("from_pid").alias("entry_pid"), F.col("to_pid").alias("exit_pid"), F.col("tolled_s").alias("in_s"))
@@ -310,7 +311,11 @@ def section_dp(routes: DataFrame, cands: DataFrame, matrix: DataFrame, n_section
     )
     last = priced.agg(F.max("section_no")).first()[0]
     keys = ["route_id", "destination_pid", "n_sections", "vot"]
-    for k in range(0, -1 if last is None else last + 1):
+    stages = 0 if last is None else last + 1
+    ended = []
+    for k in range(stages):
+        ended.append(state.where(F.col("n_sections") <= k))
+        state = state.where(F.col("n_sections") > k)
         stage = priced.where(F.col("section_no") == k).drop("section_no")
         hop = free.withColumnsRenamed({"a": "at", "b": "entry_pid"})
         moved = (
@@ -326,10 +331,12 @@ def section_dp(routes: DataFrame, cands: DataFrame, matrix: DataFrame, n_section
                 F.concat("choices", F.array(F.struct(F.lit(k).cast("bigint").alias("section_no"), "entry_id", "exit_id", "toll"))).alias("choices"),
             )
         )
-        stay = state if allow_skip else state.where(f"n_sections <= {k}")
-        both = stay.select(*moved.columns).unionByName(moved)
+        both = state.select(*moved.columns).unionByName(moved) if allow_skip else moved
         least = both.groupBy(*keys, "at").agg(F.min(F.struct("cost", "toll_eur", "seconds", F.size("choices").alias("nc"), "choices")).alias("m"))
         state = cut_lineage(least.select(*keys, "at", "m.cost", "m.toll_eur", "m.seconds", "m.choices"))
+    state = state if allow_skip else state.where(F.col("n_sections") <= stages)
+    for rows in ended:
+        state = state.unionByName(rows)
     tail = free.withColumnsRenamed({"a": "at", "b": "destination_pid"})
     done = (
         state.join(tail, ["at", "destination_pid"], "left")
