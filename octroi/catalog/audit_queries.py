@@ -379,7 +379,7 @@ def _(x):
     return j.select("operator", "from_gare", "to_gare", "vehicle_class", r("fare_eur", 6), r("error_pct", 6), "passed")
 
 
-view("named_pairs", "SELECT DISTINCT 'P' || CAST(from_gare_id AS STRING) || '-' || CAST(to_gare_id AS STRING) AS label, from_gare_id, to_gare_id FROM {fares} WHERE class1 > 0 AND start_time = '00:00' AND from_gare_id IS NOT NULL AND to_gare_id IS NOT NULL")
+view("named_pairs", "SELECT DISTINCT 'P' || CAST(from_gare_id AS STRING) || '-' || CAST(to_gare_id AS STRING) AS label, from_gare_id, to_gare_id FROM {fares} WHERE class1 > 0 AND from_gare_id IS NOT NULL AND to_gare_id IS NOT NULL")
 
 
 @query(
