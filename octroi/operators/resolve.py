@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from octroi.functions import text
 from octroi.functions.geo import EARTH_RADIUS_KM, haversine
+from octroi.session import written
 
 ABS_TOLERANCE_KM = 5.0
 REL_TOLERANCE = 0.25
+#: Keys over which the questions about one name are dealt.
+SALTS = 16
 
 RULES = (
     "canonical_name_exact_match",
@@ -81,48 +83,46 @@ NEAR_KEY = ["name", "known_gare_id", "distance_km"]
 
 
 def proximity_hits(ends: DataFrame, gates: DataFrame) -> DataFrame:
-    """(name, known gate, distance) -> the candidate whose distance fits clearly better than the next."""
+    """(name, known gate, distance) -> the candidate whose distance fits clearly better than the next.
+
+    A question meets its candidates twice: once for the least error, once to count the errors that come near it.
+    Both are sums over primitives per question, combined before anything is exchanged, so a name that very many
+    gates share costs time and no memory; its questions are dealt over salts.
+    """
     places = gates.select("gare_id", "lat", "lon")
     cand = (
         name_candidates(gates)
         .join(places.where("lat IS NOT NULL AND lon IS NOT NULL"), "gare_id")
+        # Two gates at one place tie with each other: their number says as much as all of them.
         .groupBy("name", "lat", "lon")
         .agg(F.min("gare_id").alias("gare_id"), F.count(F.lit(1)).alias("copies"))
-        # Two gates at one place tie with each other: two rows say as much as all of them.
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("copies"), F.lit(2)).cast("int"))))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
     known = places.select(
         F.col("gare_id").alias("known_gare_id"), F.col("lat").alias("k_lat"), F.col("lon").alias("k_lon")
     )
-    asked = (
+    key = NEAR_KEY
+    asked = written(
         ends.where("distance_km IS NOT NULL")
-        .select("name", "known_gare_id", "distance_km")
+        .select(*key)
         .distinct()
         .join(known, "known_gare_id")
         .where("k_lat IS NOT NULL AND k_lon IS NOT NULL")
+        .withColumn("_salt", F.pmod(F.xxhash64("known_gare_id", "distance_km"), F.lit(SALTS)).cast("int")),
+        "asked-places",
     )
-    key = NEAR_KEY
-    scored = asked.join(cand, "name").select(
-        *key,
-        F.col("gare_id"),
-        F.col("copy"),
-        F.abs(haversine("k_lat", "k_lon", "lat", "lon", EARTH_RADIUS_KM) - F.col("distance_km")).alias("err"),
-    )
-    # Best two per endpoint: first within salts, then over what the salts left.
-    order = ["err", "gare_id", "copy"]
-    rough = Window.partitionBy(*key, "_salt").orderBy(*order)
-    fine = Window.partitionBy(*key).orderBy(*order)
-    best_two = (
-        scored.withColumn("_salt", F.pmod(F.xxhash64("gare_id"), F.lit(32)))
-        .withColumn("_r", F.row_number().over(rough))
-        .where("_r <= 2")
-        .withColumn("second_err", F.lead("err").over(fine))
-        .withColumn("_r", F.row_number().over(fine))
-        .where("_r = 1 AND second_err IS NOT NULL")
-    )
+    cand = written(cand, "named-places")
+    err = F.abs(haversine("k_lat", "k_lon", "lat", "lon", EARTH_RADIUS_KM) - F.col("distance_km"))
     tol = F.greatest(F.lit(ABS_TOLERANCE_KM), F.col("distance_km") * REL_TOLERANCE)
-    return best_two.where((F.col("err") <= tol) & (F.col("second_err") - F.col("err") > tol)).select(
-        *key, F.col("gare_id").alias("matched_gare_id")
+    least = asked.join(cand, ["name", "_salt"]).groupBy(*key).agg(F.min(err).alias("best"), F.sum("copies").alias("n"))
+    fits = least.where((F.col("best") <= tol) & (F.col("n") > 1)).drop("n")
+    # `second - best > tol` as the rule says it: the same arithmetic for every candidate but the best itself.
+    again = asked.join(fits, key).join(cand, ["name", "_salt"]).withColumn("err", err).where(~(F.col("err") - F.col("best") > tol))
+    return (
+        again.groupBy(*key)
+        .agg(F.sum("copies").alias("near"), F.min("gare_id").alias("matched_gare_id"))
+        .where("near = 1")
+        .select(*key, "matched_gare_id")
     )
 
 

@@ -1,5 +1,8 @@
 
 
+import math
+import random
+
 from octroi.functions import text
 from octroi.operators import audits, cleaning, resolve
 
@@ -119,3 +122,28 @@ def test_error_percentiles_empty_and_monotone(spark):
     pick = lambda p: vals[min(100, int(101 * p / 100))]
     assert [r[c] for c in ("median", "p75", "p90", "p95", "p99", "max")] == [pick(p) for p in (50, 75, 90, 95, 99)] + [vals[-1]]
 
+
+
+def km(lat1, lon1, lat2, lon2):
+    h = math.sin(math.radians(lat2 - lat1) / 2) ** 2 + math.cos(math.radians(lat1)) * math.cos(math.radians(lat2)) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+    return 2 * 6371.0 * math.asin(math.sqrt(h))
+
+
+def test_distance_rule_against_brute_force_and_without_ordering_candidates(spark, capsys):
+    """Many gates of one name, some at one place: the fitting one is found without a window over all pairs."""
+    rng = random.Random(5)
+    spots = [(round(rng.uniform(43, 50), 2), round(rng.uniform(1, 6), 2)) for _ in range(12)]
+    gates = [gate(i, "AA", *spots[rng.randrange(12)], name=f"N{i % 3}") for i in range(30)] + [gate(90, "AA", 46.0, 4.0, "K")]
+    asked = [(i, "AA", 90, None, "k", f"n{i % 3}", round(rng.uniform(1, 500), 1), 1.0) for i in range(300)]
+    g, f = spark.createDataFrame(gates, GATES), spark.createDataFrame(asked, FARES)
+    want = {}
+    for row in asked:
+        d = row[6]
+        tol = max(5.0, 0.25 * d)
+        errors = sorted((abs(km(46.0, 4.0, x[4], x[5]) - d), x[0]) for x in gates if x[1].lower() == row[5])
+        if errors[0][0] <= tol and errors[1][0] - errors[0][0] > tol:
+            want[row[0]] = errors[0][1]
+    found = resolve.match_proximity(resolve.blank_endpoints(f), g)
+    assert len(want) > 3 and {r.row_id: r.matched_gare_id for r in found.collect()} == want
+    found.explain()
+    assert "Window" not in capsys.readouterr().out
