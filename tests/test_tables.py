@@ -123,3 +123,23 @@ def test_every_character_folds_like_its_decomposition(spark):
     rows = ["a" + "b".join(chars[i : i + 50]) for i in range(0, len(chars), 50)]
     got = spark.createDataFrame([(i, s) for i, s in enumerate(rows)], "i int, s string").select("i", text.fold_accents("s").alias("t")).collect()
     assert len(chars) > 15_000 and {r.i: r.t for r in got} == {i: bare(s) for i, s in enumerate(rows)}
+
+
+def test_route_decompose_takes_own_gates_out_of_the_listed_ones(spark, capsys):
+    """Own gates at the ends, in the middle, twice in a row, and none; no list of a pair is spread out to look up its legs."""
+    from octroi.operators import scoring
+
+    pairs = [(1, 1, 3), (2, 9, 2), (3, 2, 3), (4, 9, 8), (5, 4, 9)]
+    status = spark.createDataFrame([(r, "AA", f, t, 1.0, 9.0, "checked") for r, f, t in pairs], "row_id long, operator string, from_gare_id long, to_gare_id long, distance_km double, measured_km double, status string")
+    routes = spark.createDataFrame([(r, 7 if r < 5 else 6) for r, *_ in pairs], "row_id long, route_id long")
+    on = spark.createDataFrame([(7, g, 100.0 * g) for g in (1, 2, 3, 4)], "route_id long, gare_id long, along_m double")
+    gates = spark.createDataFrame([(g, f"G{g}", "AA" if g < 4 else "AA | BB") for g in (1, 2, 3, 4, 8, 9)], "gare_id long, canonical_name string, operators string")
+    sold = {(1, 2), (2, 3), (1, 3), (1, 4), (9, 1), (4, 8), (3, 2), (4, 9)}
+    fares = spark.createDataFrame([(i, "AA", a, b, float(10 * a + b)) for i, (a, b) in enumerate(sorted(sold))], "row_id long, operator string, from_gare_id long, to_gare_id long, class1 double")
+    got = scoring.route_decompose(status, routes, on, gates, fares)
+    kept = {r: [g for g in (1, 2, 3, 4) if g not in (f, t) and r < 5] for r, f, t in pairs}
+    chains = {r: [f, *kept[r], t] for r, f, t in pairs}
+    want = {r: ("|".join(f"G{g}" for g in kept[r]), "|".join(f"{10 * a + b:.2f}" if (a, b) in sold else "" for a, b in zip(c, c[1:]))) for r, c in chains.items()}
+    assert {r.row_id: (r.intermediate_gates, r.leg_fares) for r in got.collect()} == want
+    got.explain()
+    assert "posexplode" not in capsys.readouterr().out
