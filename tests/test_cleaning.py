@@ -177,3 +177,15 @@ def test_corridors_of_both_ends_without_grouping_by_fare(spark):
         want[c] = (sum(c in at(g) for g in roads), len(touch), sum(c in at(a) & at(b) for a, b in touch), sum(a == b for a, b in touch))
     assert {r.corridor: (r.n_gates, r.referencing, r.pure, r.self_loops) for r in got.collect()} == want
     assert "row_id" not in got._jdf.queryExecution().optimizedPlan().toString().replace("LogicalRDD [row_id", "")
+
+
+def test_row_rejects_read_the_checks_from_what_was_written_once(spark):
+    rows = [(1, "A", 1, 2, 0.5), (2, "A", 2, 1, 0.0), (3, "A", 1, 2, 0.1), (4, "A", 3, 4, 0.9), (5, "A", 5, 5, 0.0)]
+    checks = spark.createDataFrame(rows, "row_id long, operator string, from_gare_id long, to_gare_id long, error double").where("row_id > 0")
+    got = audits.row_rejects(checks)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and plan.count("Join") == 1
+    # the median ratio is 1.1; the last row from 1 to 2 decides its direction
+    assert {r.row_id: (round(r.adjusted, 6), r.rejected) for r in got.collect()} == {
+        1: (0.0, False), 2: (0.0, False), 3: (0.0, False), 4: (0.727273, True), 5: (0.090909, False),
+    }
