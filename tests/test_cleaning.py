@@ -3,6 +3,8 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
 from octroi.functions import text
 from octroi.operators import audits, cleaning, resolve
 
@@ -189,3 +191,24 @@ def test_row_rejects_read_the_checks_from_what_was_written_once(spark):
     assert {r.row_id: (round(r.adjusted, 6), r.rejected) for r in got.collect()} == {
         1: (0.0, False), 2: (0.0, False), 3: (0.0, False), 4: (0.727273, True), 5: (0.090909, False),
     }
+
+
+def test_names_are_folded_once_for_all_flags_and_ascii_not_at_all(spark):
+    g = spark.createDataFrame([("Barrière de PÉAGE",), ("Plain A1",), (None,), ("Échangeur ﬁctif",)], "n string")
+    df = g.select(cleaning.name_flags(F.col("n")).alias("f"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("translate(") == g.select(
+        text.lower_bare("n").alias("f")
+    )._jdf.queryExecution().optimizedPlan().toString().count("translate(")
+    bare = g.select(text.fold_accents("n").alias("b"))
+    assert [r.b for r in bare.collect()] == ["Barriere de PEAGE", "Plain A1", None, "Echangeur fictif"]
+    assert "x00-\\x7F" in bare._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sourced_prices_meet_fares_that_are_hashed_not_sorted(spark):
+    fares = spark.createDataFrame(
+        [(1, "A", "x", "y", 1.0, 2.0), (2, "A", "x", "y", 3.0, None)], "row_id long, operator string, from_gare string, to_gare string, class1 double, class2 double"
+    ).withColumns({f"class{k}": F.lit(9.0) for k in (3, 4, 5)})
+    ask = spark.createDataFrame([("A", "x", "y", 1, 3.0, 10.0), ("A", "x", "y", 2, 3.0, 10.0)], "operator string, from_gare string, to_gare string, vehicle_class int, oracle_price_eur double, tolerance_pct double")
+    got = audits.oracle_join(ask, fares)
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.vehicle_class, r.fare_eur, r.passed) for r in got.collect()) == [(1, 3.0, True), (2, None, None)]
