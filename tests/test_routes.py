@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from octroi.functions import paths, pricing
-from octroi.operators import sections
+from octroi.operators import cleaning, network, sections
 from octroi.operators.relax import relax, walk, ways_back
 
 
@@ -153,3 +153,19 @@ def test_chain_prices_against_brute_force(spark):
     have = {(r["section_no"], r["i"], r["j"]): round(r["price"], 6) for r in got.collect()}
     want = {(no, *k): round(v, 6) for no, n, fares in cases for k, v in brute_prices(n, fares).items()}
     assert have == want
+
+
+def test_static_costs_group_no_toll_free_edges_and_equal_the_grouping_of_all(spark):
+    n = 8
+    points = spark.createDataFrame([(g, (g + 1) // 2) for g in range(1, n + 1)], "gare_id long, pid long")
+    active = points.select("gare_id")
+    legs = [(a, b, None if (a + b) % 3 == 0 else a * 10.0 + b, a * 100.0 + b, a * 20.0 + b, a * 200.0 + b) for a in range(1, 5) for b in range(1, 5) if a != b]
+    matrix = spark.createDataFrame(legs, "from_pid long, to_pid long, tolled_s double, tolled_m double, free_s double, free_m double")
+    rows = [(r, 1 + r % n, 1 + r * 3 % n, "A", "x", "y", 5.0, 1.0 + r) for r in range(40)]
+    fares = cleaning.class_prices(spark.createDataFrame(rows, "row_id long, from_gare_id long, to_gare_id long, operator string, from_gare string, to_gare string, distance_km double, class1 double"))
+    met = [(1, 3, "exit_reentry", 180.0, 500.0), (2, 5, "boundary", 0.0, 0.0), (1, 2, "exit_reentry", 180.0, 500.0)]
+    transfers = spark.createDataFrame(met, "a_id long, b_id long, transfer_type string, dwell_s double, dwell_m double")
+    got = network.static_costs(fares, active, points, matrix, transfers)
+    want = network.edge_costs(network.static_edges(active, fares, active, points, matrix, transfers))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect())) and got.columns == want.columns
+    assert got.where("edge_type = 'exit_reentry'").count() == 8
