@@ -170,3 +170,12 @@ def test_a_matrix_is_written_and_checked_in_parts_of_bounded_rows(spark, tmp_pat
     files.write_matrix(m.union(m.where("from_pid = 30")), str(tmp_path / "twice"))
     with pytest.raises(ValueError, match="twice"):
         files.load_matrix(spark, str(tmp_path / "twice"), points)
+
+
+def test_tariff_lines_are_dealt_by_their_names_in_parts_that_grow_with_the_text(spark, monkeypatch):
+    monkeypatch.setitem(files.task_parts.__globals__, "TASK_ROWS", 2)
+    prices = "  1,0 €  2,0 €  3,0 €  4,0 €  {} €"
+    rows = [(f"A{k % 30}    B  12,5{prices.format(k)}", k) for k in range(60)]
+    got = files.parse_tariff_text(spark.createDataFrame(rows, "line string, line_order long"), "plain")
+    assert "RepartitionByExpression [from_gare" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.from_gare: (r.to_gare, r.class5) for r in got.collect()} == {f"A{k}": ("B", k + 30.0) for k in range(30)}
