@@ -65,3 +65,22 @@ def test_dear_moves_are_not_searched(spark):
     near = req.near_moves(moves, {(1, 0.0, 0.0, 1.0): (200.0, 60.0), (1, 1.0, 0.0, 0.0): (3.0, -1.0), (2, 0.0, 0.0, 1.0): (inf, inf)})
     got = sorted((r["vehicle_class"], r["to_node"], r["toll"]) for r in near.select("vehicle_class", "to_node", F.col("toll")).collect())
     assert got == [(1, 5, 3.0), (1, 8, 0.0), (2, 5, 6.0), (2, 8, 0.0), (2, 10, 0.0)]
+
+
+def test_tasks_and_rounds_settle_ways_of_equal_cost_alike(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = {}
+    for _ in range(400):
+        a, b, kind = rng.randrange(24), rng.randrange(24), rng.choice((1, 4))
+        toll = float(rng.randrange(1, 3)) if kind == 4 else 0.0
+        rows[a * 2 + (rng.randrange(2) if kind == 1 else 0), b * 2 + (kind == 4)] = (kind, 60.0 * rng.randrange(1, 3), 500.0, [toll, toll + 1, None, None, None])
+    moves = spark.createDataFrame([(*k, *v) for k, v in rows.items()], "node bigint, to_node bigint, kind int, e_s double, e_m double, tolls array<double>")
+    legs = [(h, g, d, 60.0, 500.0) for h in range(3) for g in range(h, 24, 8) for d in ("entry", "exit")]
+    access = spark.createDataFrame(legs, "hub_id bigint, gare_id bigint, direction string, duration_s double, distance_m double")
+    classes = spark.createDataFrame([(1, 0.15, 12.0), (2, 0.2, 15.0)], "vehicle_class int, per_km double, per_hour double")
+    groups = spark.createDataFrame([(o, d, c, 12) for o in range(3) for d in range(3) for c in (1, 2)], "origin_id bigint, destination_id bigint, vehicle_class int, vot_bucket bigint")
+    found = []
+    for most in (req.NEAR_MOST, -1):
+        monkeypatch.setattr(req, "NEAR_MOST", most)
+        found.append(sorted(map(str, req.route_table(groups, classes, access, moves).collect())))
+    assert found[0] == found[1] and len(found[0]) == 3 * 3 * 2 * 12
